@@ -1,0 +1,17 @@
+"""Deciding whether a side of a join may be broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# Rows; the tables checked here are narrow (a few short strings per row).
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows.
+
+    Larger tables come back unchanged, so Spark joins by shuffle and its adaptive
+    skew handling splits hot keys.  The count stops at the limit.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
