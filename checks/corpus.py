@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.templates import TEMPLATES
+from riskloom.functions.sqltext import constant_list
 
 CONFIG_NAME = ".scan-config.json"
 
@@ -17,11 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input comes in fewer splits (small test files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One code file per customer: 20 to 60 template lines, some of them odd."""
     k = F.col("c_custkey")
     count = len(TEMPLATES)
-    templates = F.array(*[F.lit(t) for t in TEMPLATES])
+    templates = constant_list(TEMPLATES)
     stride = F.when(k % 3 != 0, F.lit(1)).otherwise(1 + (k * 7) % (count - 1))
 
     def line(i):
@@ -58,7 +65,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(".php"))
     )
     project = F.concat(F.lit("p"), F.col("c_nationkey").cast("string"))
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).select(
         project.alias("project"),
         F.concat(project, F.lit("/"), folder, F.lit("/f"), k.cast("string"), ext).alias("path"),
         F.replace(content, F.lit("\n"), eol).alias("content"),
@@ -66,12 +73,12 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.lit("documents").alias("project"),
         F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".inc")).alias("path"),
         F.col("text").alias("content"),
     )
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         F.lit("pages").alias("project"),
         F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".phtml")).alias("path"),
         F.col("html").alias("content"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskloom.functions.plan import computed_once
+from riskloom.functions.sqltext import constant_list, constant_rows
 from riskloom.functions.text import clipped, trimmed
 from riskloom.model import (
     CONF_HIGH,
@@ -93,7 +95,7 @@ def _candidate(pass_ord: int, fields: dict[str, Column], context: tuple[int, int
 
 
 def _category_of(rule_ord: Column, rules: list[Rule]) -> Column:
-    return F.element_at(F.array(*[F.lit(r.category) for r in rules]), rule_ord)
+    return F.element_at(constant_list(r.category for r in rules), rule_ord)
 
 
 def rule_candidates(rules: list[Rule], context_lines: int, file_level: bool = True) -> Column:
@@ -172,21 +174,24 @@ class RuleBook:
 
     def lookup(self, rule_ord: Column) -> Column:
         """Struct with the fixed attributes of a rule."""
-        table = F.array(
-            *[
-                F.struct(
-                    F.lit(r.rule_id).alias("rule_id"),
-                    F.lit(r.category).alias("category"),
-                    F.lit(r.severity).alias("severity"),
-                    F.lit(r.cwe).alias("cwe"),
-                    F.lit(r.description).alias("description"),
-                    F.lit(r.recommendation).alias("recommendation"),
-                    F.lit(r.source).alias("source"),
-                    F.lit(r.pack).cast("string").alias("pack"),
-                    F.lit(conf).cast("int").alias("confidence"),
-                )
+        table = constant_rows(
+            [
+                {
+                    "rule_id": r.rule_id,
+                    "category": r.category,
+                    "severity": r.severity,
+                    "cwe": r.cwe,
+                    "description": r.description,
+                    "recommendation": r.recommendation,
+                    "source": r.source,
+                    "pack": r.pack,
+                    "confidence": conf,
+                }
                 for r, conf in self.entries
-            ]
+            ],
+            "rule_id: STRING, category: STRING, severity: INT, cwe: STRING, "
+            "description: STRING, recommendation: STRING, source: STRING, "
+            "pack: STRING, confidence: INT",
         )
         return F.element_at(table, rule_ord)
 
@@ -211,39 +216,34 @@ def judged(candidates: DataFrame, book: RuleBook, settings: ScanSettings) -> Dat
     is_rule = F.col("pass_ord") == PASS_RULES
     df = candidates.withColumn("r", book.lookup(F.col("rule_ord")))
     df = df.select("*", "r.rule_id", "r.category", "r.severity", "r.cwe", "r.source", "r.pack")
-    df = df.withColumn("variable", F.when(is_rule, match.first_variable(F.col("match"))))
+    df = computed_once(
+        with_visible_part(df).withColumnRenamed("visible", "_visible"),
+        variable=F.when(is_rule, match.first_variable(F.col("match"))),
+        visible=F.col("_visible"),
+    ).drop("_visible")
     df = df.where(
         ~is_rule
         | (
-            ~F.col("rule_id").isin(X.REPLACED_RULES)
+            F.col("visible").isNotNull()
+            & ~F.col("rule_id").isin(X.REPLACED_RULES)
             & ~match.exempt(
                 F.col("rule_id"), F.col("category"), F.col("text"), F.col("variable")
             )
         )
     )
-    df = with_visible_part(df).where(~is_rule | F.col("visible").isNotNull())
-
-    df = df.withColumn(
-        "near_func",
-        F.when(
+    df = computed_once(
+        df,
+        near_func=F.when(
             is_rule,
             F.coalesce(
-                sanitize.same_line_sanitizer(F.col("text"), F.col("category"), F.col("pos")),
-                sanitize.lookback_sanitizer(
-                    F.transform(
-                        nearest(F.col("before"), match.LOOKBACK_LINES), lambda c: c["text"]
-                    ),
-                    F.col("variable"),
-                    F.col("category"),
-                ),
+                sanitize.same_line_sanitizer(),
+                sanitize.lookback_sanitizer(match.LOOKBACK_LINES),
             ),
         ),
+        comment=F.when(is_rule, match.suppression_comment(F.col("text"))),
     )
     near = F.col("near_func").isNotNull()
     df = df.where(~(near & F.col("rule_id").isin(X.DROP_WHEN_SANITIZED)))
-    df = df.withColumn(
-        "comment", F.when(is_rule, match.suppression_comment(F.col("text")))
-    )
     confidence = F.coalesce(
         F.col("r.confidence"),
         match.confidence(F.col("text"), F.col("rule_id"), F.col("severity"), near),

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.functions.text import (
-    contains_any, first_match, match_start, matches, trimmed,
-)
+from riskloom.functions import sqltext
+from riskloom.functions.sqltext import any_of
+from riskloom.functions.text import contains_any, first_match, trimmed
 from riskloom.model import (
     CONF_HIGH, CONF_LOW, CONF_MEDIUM, HIGH, Rule,
 )
@@ -19,40 +19,39 @@ LOOKBACK_LINES = 5
 _SANITIZED_CATEGORIES = {category for category, _, _ in SANITIZERS}
 
 
-def hinted(low: Column, hints) -> Column:
-    """All hints occur in the lower-cased line; "a|b" is one hint of two forms."""
-    cond = F.lit(True)
-    for hint in hints:
-        words = hint.split("|") if len(hint) > 1 else [hint]
-        cond = cond & contains_any(low, words)
-    return cond
+def _hinted(low: str, hints) -> list[str]:
+    """Conditions for all hints; "a|b" is one hint of two forms."""
+    return [any_of(low, hint.split("|") if len(hint) > 1 else [hint]) for hint in hints]
 
 
-def line_hits(text: Column, low: Column, rules: list[Rule]) -> Column:
-    """Array of ``(rule_ord, match, pos)`` for one line; first match per rule.
+def line_hits(text: str, low: str, rules: list[Rule]) -> str:
+    """SQL for the hits of one line: ``(rule_ord, match, pos)``, first match per rule.
 
     ``pos`` is only needed, and only filled, where sanitizers exist.
     """
     options = []
     for rule_ord, rule in enumerate(rules, 1):
-        cond = hinted(low, rule.hints)
+        conditions = _hinted(low, rule.hints)
         if rule.unless:
-            cond = cond & ~matches(text, rule.unless)
-        start = F.lit(0)
+            conditions.append(f"NOT {sqltext.rlike(text, rule.unless)}")
+        pos = "0"
         if rule.category in _SANITIZED_CATEGORIES:
-            cond = cond & matches(text, rule.pattern)
-            start = match_start(text, rule.pattern)
-        hit = F.struct(
-            F.lit(rule_ord).alias("rule_ord"),
-            first_match(text, rule.pattern).alias("match"),
-            start.alias("pos"),
+            conditions.append(sqltext.rlike(text, rule.pattern))
+            pos = sqltext.start(text, rule.pattern)
+        hit = (
+            f"named_struct('rule_ord', {rule_ord}, "
+            f"'match', {sqltext.extract(text, rule.pattern)}, 'pos', {pos})"
         )
-        options.append(F.when(cond, hit))
-    return F.filter(F.array(*options), lambda h: h.isNotNull() & (h["match"] != ""))
+        options.append(f"if({' AND '.join(conditions) or 'true'}, {hit}, NULL)")
+    if not options:
+        options = ["CAST(NULL AS STRUCT<rule_ord: INT, match: STRING, pos: INT>)"]
+    return (
+        f"filter(array({', '.join(options)}), h -> h IS NOT NULL AND h.match <> '')"
+    )
 
 
-def file_hits(rules: list[Rule], masked: bool = True) -> Column:
-    """All hits of a file, line by line: ``(line_no, in_comment, text, rule_ord, match, pos)``.
+def with_hits(df: DataFrame, rules: list[Rule], masked: bool = True) -> DataFrame:
+    """Adds ``hits``: ``(line_no, in_comment, text, rule_ord, match, pos)`` per hit.
 
     Needs ``lines`` and, unless ``masked`` is off, ``in_comment``.
     """
@@ -70,26 +69,15 @@ def file_hits(rules: list[Rule], masked: bool = True) -> Column:
         prepared = F.filter(
             prepared, lambda x: ~surely_skipped(x["text"], x["in_comment"])
         )
-    return F.flatten(
-        F.transform(
-            prepared,
-            lambda x: F.transform(
-                line_hits(x["text"], x["low"], rules),
-                lambda h: F.struct(
-                    x["line_no"].alias("line_no"),
-                    x["in_comment"].alias("in_comment"),
-                    x["text"].alias("text"),
-                    h["rule_ord"].alias("rule_ord"),
-                    h["match"].alias("match"),
-                    h["pos"].alias("pos"),
-                ),
-            ),
-        )
+    hits = F.expr(
+        "flatten(transform(_prepared, x -> transform("
+        + line_hits("x.text", "x.low", rules)
+        + ", h -> named_struct('line_no', x.line_no, 'in_comment', x.in_comment, "
+        "'text', x.text, 'rule_ord', h.rule_ord, 'match', h.match, 'pos', h.pos))))"
+    )
+    return (
+        df.withColumn("_prepared", prepared).withColumn("hits", hits).drop("_prepared")
     )
-
-
-def with_hits(df: DataFrame, rules: list[Rule], masked: bool = True) -> DataFrame:
-    return df.withColumn("hits", file_hits(rules, masked))
 
 
 def first_variable(text: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.functions.text import all_matches, contains_any, match_start, matches
+from riskloom.functions import sqltext
+from riskloom.functions.dialect import sql_string, to_java
+from riskloom.functions.sqltext import any_of, first_known
 from riskloom.rules.exemptions import VARIABLE
 from riskloom.rules.sanitizers import SANITIZER_HINTS, SANITIZERS
 
@@ -13,123 +15,79 @@ _CATEGORIES = list(dict.fromkeys(c for c, _, _ in SANITIZERS))
 _HINTS = list(dict.fromkeys(SANITIZER_HINTS))
 
 
-def same_line_sanitizer(text: Column, category: Column, pos: Column) -> Column:
-    """First sanitizer of the category that starts at or before the match."""
-    low = F.lower(text)
-    return F.when(
-        category.isin(_CATEGORIES) & contains_any(low, _HINTS),
-        F.coalesce(
-            *[
-                F.when(
-                    (category == c)
-                    & F.contains(low, F.lit(hint))
-                    & match_start(text, p).between(F.lit(1), pos),
-                    F.lit(name),
-                )
-                for c, p, name, hint in _ENTRIES
-            ]
-        ),
-    )
-
+def _name_if(low: str, hint: str, condition: str, name: str) -> str:
+    return f"if({any_of(low, [hint])} AND {condition}, {sql_string(name)}, NULL)"
 
-def _sanitizer_of(text: Column, low: Column, category: Column) -> Column:
-    return F.coalesce(
-        *[
-            F.when(
-                (category == c) & F.contains(low, F.lit(hint)) & matches(text, p), F.lit(name)
-            )
-            for c, p, name, hint in _ENTRIES
-        ]
-    )
 
+def same_line_sanitizer() -> Column:
+    """First sanitizer of the category that starts at or before the match.
 
-def _any_sanitizer(text: Column, low: Column) -> Column:
-    return F.coalesce(
-        *[
-            F.when(F.contains(low, F.lit(hint)) & matches(text, p), F.lit(name))
-            for _, p, name, hint in _ENTRIES
-        ]
+    Reads the columns ``text``, ``category`` and ``pos``.
+    """
+    low = "lower(text)"
+    options = first_known(
+        _name_if(
+            low, hint,
+            f"category = {sql_string(c)} AND {sqltext.start('text', p)} BETWEEN 1 AND pos", name,
+        )
+        for c, p, name, hint in _ENTRIES
     )
+    return F.expr(f"if({any_of(low, _HINTS)}, {options}, NULL)")
 
 
-def lookback_sanitizer(before: Column, variable: Column, category: Column) -> Column:
-    """Earliest of the given lines that assigns the variable through a sanitizer.
+def lookback_sanitizer(count: int) -> Column:
+    """Earliest of the last ``count`` lines that assigns the variable through a sanitizer.
 
-    Within a line the category's own sanitizers come before all others.
+    Within a line the category's own sanitizers come before all others.  Reads
+    ``before``, ``variable`` and ``category``.
     """
-    prepared = F.transform(
-        before, lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"))
+    own = first_known(
+        _name_if("x.low", hint,
+                 f"category = {sql_string(c)} AND {sqltext.rlike('x.text', p)}", name)
+        for c, p, name, hint in _ENTRIES
     )
-    candidates = F.filter(
-        prepared,
-        lambda x: F.contains(x["text"], variable)
-        & F.contains(x["text"], F.lit("="))
-        & contains_any(x["low"], _HINTS),
+    other = first_known(
+        _name_if("x.low", hint, sqltext.rlike("x.text", p), name) for _, p, name, hint in _ENTRIES
     )
-    names = F.transform(
-        candidates,
-        lambda x: F.coalesce(
-            _sanitizer_of(x["text"], x["low"], category), _any_sanitizer(x["text"], x["low"])
-        ),
+    recent = f"slice(before, greatest(size(before) - {count}, 0) + 1, {count})"
+    assigning = (
+        f"filter(transform({recent}, b -> named_struct('text', b.text, 'low', lower(b.text))), "
+        f"x -> contains(x.text, variable) AND contains(x.text, '=') "
+        f"AND {any_of('x.low', _HINTS)})"
     )
-    found = F.get(F.filter(names, lambda n: n.isNotNull()), F.lit(0))
-    return F.when(variable != "", F.concat(found, F.lit(" (context)")))
+    names = f"filter(transform({assigning}, x -> coalesce({own}, {other})), n -> n IS NOT NULL)"
+    return F.expr(f"if(variable <> '', concat(get({names}, 0), ' (context)'), NULL)")
 
 
 def with_cleaned_variables(df: DataFrame) -> DataFrame:
     """Adds ``cleaned``: where each variable first meets a sanitizer, per category.
 
-    One entry per (category, variable), sorted; the list grows with the
-    variables of a file, not with its lines.
+    One ``(category, variable, line_no, func)`` per category and variable, sorted;
+    the list grows with the variables of a file, not with its lines.
     """
-    prepared = F.transform(
-        "lines",
-        lambda t, i: F.struct(
-            (i + 1).alias("line_no"), t.alias("text"), F.lower(t).alias("low")
-        ),
+    per_category = ", ".join(
+        f"named_struct('category', {sql_string(category)}, 'func', "
+        + first_known(
+            _name_if("x.low", hint, sqltext.rlike("x.text", p), name)
+            for c, p, name, hint in _ENTRIES
+            if c == category
+        )
+        + ")"
+        for category in _CATEGORIES
     )
-    candidates = F.filter(
-        prepared,
-        lambda x: F.contains(x["text"], F.lit("$")) & contains_any(x["low"], _HINTS),
+    numbered = (
+        "transform(lines, (t, i) -> named_struct('line_no', i + 1, 'text', t, 'low', lower(t)))"
+    )
+    relevant = f"filter({numbered}, x -> contains(x.text, '$') AND {any_of('x.low', _HINTS)})"
+    variables = (
+        f"array_distinct(regexp_extract_all(x.text, {sql_string(to_java(VARIABLE))}, 0))"
+    )
+    entries = (
+        f"transform({relevant}, x -> flatten(transform("
+        f"filter(array({per_category}), e -> e.func IS NOT NULL), "
+        f"e -> transform({variables}, v -> named_struct("
+        "'category', e.category, 'variable', v, 'line_no', x.line_no, 'func', e.func)))))"
     )
-
-    def found_on(x: Column) -> Column:
-        per_category = F.array(
-            *[
-                F.struct(
-                    F.lit(category).alias("category"),
-                    F.coalesce(
-                        *[
-                            F.when(
-                                F.contains(x["low"], F.lit(hint)) & matches(x["text"], p),
-                                F.lit(name),
-                            )
-                            for c, p, name, hint in _ENTRIES
-                            if c == category
-                        ]
-                    ).alias("func"),
-                )
-                for category in _CATEGORIES
-            ]
-        )
-        found = F.filter(per_category, lambda e: e["func"].isNotNull())
-        variables = F.array_distinct(all_matches(x["text"], VARIABLE))
-        return F.flatten(
-            F.transform(
-                found,
-                lambda e: F.transform(
-                    variables,
-                    lambda v: F.struct(
-                        e["category"].alias("category"),
-                        v.alias("variable"),
-                        x["line_no"].alias("line_no"),
-                        e["func"].alias("func"),
-                    ),
-                ),
-            )
-        )
-
-    entries = F.sort_array(F.flatten(F.transform(candidates, found_on)))
 
     def first_of_its_kind(e: Column, i: Column) -> Column:
         previous = F.get("_entries", i - 1)
@@ -140,7 +98,7 @@ def with_cleaned_variables(df: DataFrame) -> DataFrame:
         )
 
     return (
-        df.withColumn("_entries", entries)
+        df.withColumn("_entries", F.expr(f"sort_array(flatten({entries}))"))
         .withColumn("cleaned", F.filter("_entries", first_of_its_kind))
         .drop("_entries")
     )

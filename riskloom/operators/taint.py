@@ -5,14 +5,17 @@ relevant line).  A small Arrow function then walks those facts in line order;
 lines, texts and all other columns stay on the JVM side.
 """
 
-from __future__ import annotations
-
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from riskloom.functions.text import all_matches, clipped, contains_any, first_match, matches, trimmed
+from riskloom.functions import sqltext
+from riskloom.functions.dialect import sql_string, to_java
+from riskloom.functions.sqltext import any_of, constant_list, first_known
+from riskloom.functions.text import WHITE_SPACE, clipped, trimmed
 from riskloom.model import Rule, SHOWN_STEP_CHARS
+from riskloom.operators import walk
 from riskloom.rules import flows as V
 from riskloom.rules.exemptions import VARIABLE
 
@@ -38,7 +41,7 @@ FLOW_STRUCT = T.StructType(
         ),
     ]
 )
-_FLOW_TYPE = to_arrow_type(T.ArrayType(FLOW_STRUCT))
+cloudpickle.register_pickle_by_value(walk)
 
 SINK_RULES: list[Rule] = [
     Rule(
@@ -47,84 +50,67 @@ SINK_RULES: list[Rule] = [
     )
     for _, category, severity, cwe in V.SINKS
 ]
-_XSS_SINKS = {n for n, s in enumerate(V.SINKS) if s[1] == "Cross-Site Scripting"}
 _CLEAN_NAMES = list(
     dict.fromkeys(name.lower() for names in V.FLOW_SANITIZERS.values() for name in names)
 )
 
 
-def _sinks_on(text: Column, low: Column) -> Column:
+def _sinks_on(text: str, low: str) -> str:
     """Sinks named on the line, without false calls and locally cleaned categories."""
-    cleaned = {
-        category: contains_any(low, [n.lower() for n in names])
-        for category, names in V.FLOW_SANITIZERS.items()
-    }
     options = []
     for n, (function, category, _, _) in enumerate(V.SINKS):
-        cond = F.contains(low, F.lit(function.lower()))
+        conditions = [any_of(low, [function.lower()])]
         if function == "header":
-            cond = cond & matches(text, V.HEADER_CALL)
+            conditions.append(sqltext.rlike(text, V.HEADER_CALL))
         if category == "File Inclusion":
-            cond = cond & matches(text, V.INCLUDE_CALL) & ~matches(text, V.OUTPUT_STRING)
-        options.append(F.when(cond & ~cleaned[category], F.lit(n)))
-    return F.filter(F.array(*options), lambda n: n.isNotNull())
+            conditions.append(sqltext.rlike(text, V.INCLUDE_CALL))
+            conditions.append(f"NOT {sqltext.rlike(text, V.OUTPUT_STRING)}")
+        names = [name.lower() for name in V.FLOW_SANITIZERS[category]]
+        conditions.append(f"NOT {any_of(low, names)}")
+        options.append(f"if({' AND '.join(conditions)}, {n}, NULL)")
+    return f"array_compact(array({', '.join(options)}))"
 
 
 def line_facts(extended_fetch: bool = False) -> Column:
     """Per file: the lines that can start, move, clean or end a flow."""
     fetch_pattern = V.DB_FETCH_EXTENDED if extended_fetch else V.DB_FETCH
 
-    def prepared(t: Column, i: Column) -> Column:
-        has_assignment = F.contains(t, F.lit("=")) & F.contains(t, F.lit("$"))
-        return F.struct(
-            (i + 1).alias("line_no"),
-            t.alias("text"),
-            F.lower(t).alias("low"),
-            F.when(has_assignment, first_match(t, V.ASSIGNMENT, 1))
-            .otherwise(F.lit("")).alias("target"),
-            F.when(has_assignment, first_match(t, V.ASSIGNMENT, 2))
-            .otherwise(F.lit("")).alias("rest"),
-        )
-
-    def skipped(t: Column) -> Column:
-        bare = trimmed(t)
-        return (
-            F.startswith(bare, F.lit("//"))
-            | F.startswith(bare, F.lit("#"))
-            | F.startswith(bare, F.lit("/*"))
-        )
-
-    def fact(x: Column) -> Column:
-        fetched = F.when(
-            F.contains(x["low"], F.lit("fetch")), first_match(x["text"], fetch_pattern, 1)
-        ).otherwise(F.lit(""))
-        is_row = F.contains(x["text"], F.lit("[")) & (fetched == "")
-        source = F.coalesce(
-            *[F.nullif(first_match(x["rest"], p), F.lit("")) for p in V.SOURCES], F.lit("")
-        )
-        may_be_source = contains_any(x["rest"], ["$_", "php://input"])
-        return F.struct(
-            x["line_no"].alias("line_no"),
-            x["target"].alias("target"),
-            all_matches(x["rest"], VARIABLE).alias("rest_vars"),
-            F.when(may_be_source, source).otherwise(F.lit("")).alias("src_key"),
-            fetched.alias("fetch_var"),
-            F.when(is_row, first_match(x["text"], V.ROW_COLUMN, 1))
-            .otherwise(F.lit("")).alias("row_to"),
-            F.when(is_row, first_match(x["text"], V.ROW_COLUMN, 2))
-            .otherwise(F.lit("")).alias("row_from"),
-            ((x["target"] != "") & contains_any(F.lower(x["rest"]), _CLEAN_NAMES)).alias("cleans"),
-            _sinks_on(x["text"], x["low"]).alias("sinks"),
-            all_matches(x["text"], VARIABLE).alias("line_vars"),
-        )
-
-    lines = F.filter(
-        F.transform("lines", prepared),
-        lambda x: F.contains(x["text"], F.lit("$")) & ~skipped(x["text"]),
+    def when(condition: str, value: str) -> str:
+        return f"if({condition}, {value}, '')"
+
+    prepared = (
+        "transform(filter(transform(lines, (t, i) -> named_struct('line_no', i + 1, 'text', t)), "
+        "x -> contains(x.text, '$') AND NOT rlike(trim(BOTH {space} FROM x.text), '^(//|#|/[*])')), "
+        "x -> named_struct('line_no', x.line_no, 'text', x.text, 'low', lower(x.text), "
+        "'target', {target}, 'rest', {rest}))"
+    ).format(
+        space=sql_string(WHITE_SPACE),
+        target=when("contains(x.text, '=')", sqltext.extract("x.text", V.ASSIGNMENT, 1)),
+        rest=when("contains(x.text, '=')", sqltext.extract("x.text", V.ASSIGNMENT, 2)),
+    )
+    source = first_known(
+        [f"nullif({sqltext.extract('x.rest', p)}, '')" for p in V.SOURCES] + ["''"]
     )
-    return F.filter(
-        F.transform(lines, fact),
-        lambda f: (f["target"] != "") | (f["fetch_var"] != "") | (F.size(f["sinks"]) > 0),
+    fetched = when("contains(x.low, 'fetch')", sqltext.extract("x.text", fetch_pattern, 1))
+    variables = sql_string(to_java(VARIABLE))
+    with_fetch = (
+        f"transform({prepared}, x -> named_struct('x', x, 'fetch_var', {fetched}))"
+    )
+    is_row = "p.fetch_var = '' AND contains(p.x.text, '[')"
+    facts = (
+        f"transform({with_fetch}, p -> named_struct("
+        "'line_no', p.x.line_no, 'target', p.x.target, "
+        f"'rest_vars', regexp_extract_all(p.x.rest, {variables}, 0), "
+        f"'src_key', {when(any_of('p.x.rest', ['$_', 'php://input']), source.replace('x.rest', 'p.x.rest'))}, "
+        "'fetch_var', p.fetch_var, "
+        f"'row_to', {when(is_row, sqltext.extract('p.x.text', V.ROW_COLUMN, 1))}, "
+        f"'row_from', {when(is_row, sqltext.extract('p.x.text', V.ROW_COLUMN, 2))}, "
+        f"'cleans', p.x.target <> '' AND {any_of('lower(p.x.rest)', _CLEAN_NAMES)}, "
+        f"'sinks', {_sinks_on('p.x.text', 'p.x.low')}, "
+        f"'line_vars', regexp_extract_all(p.x.text, {variables}, 0)))"
+    )
+    return F.expr(
+        f"filter({facts}, f -> f.target <> '' OR f.fetch_var <> '' OR size(f.sinks) > 0)"
     )
 
 
@@ -132,74 +118,17 @@ def with_facts(df: DataFrame, extended_fetch: bool = False) -> DataFrame:
     return df.withColumn("facts", line_facts(extended_fetch))
 
 
-def _walk(facts: list[dict]) -> list[dict]:
-    """Flows of one file.  ``state`` maps a variable to what is known about it.
-
-    A path is a chain of ``(step, previous)`` pairs, shared between variables and
-    unrolled only for a reported flow.
-    """
-    state: dict[str, tuple] = {}  # variable -> (source, path, sanitized)
-    flows = []
-
-    def extend(info, line_no, variable):
-        return (info[0], ((line_no, "assignment", variable), info[1]), False)
-
-    for f in facts:
-        line_no, target = f["line_no"], f["target"]
-        if f["src_key"]:
-            source = (target, f["src_key"], line_no)
-            state[target] = (source, ((line_no, "source", target), None), False)
-        if f["fetch_var"]:
-            variable = f["fetch_var"]
-            source = (variable, V.DB_FETCH_KEY, line_no)
-            state[variable] = (source, ((line_no, "source", variable), None), False)
-        elif f["row_to"] and f["row_from"] in state:
-            state[f["row_to"]] = extend(state[f["row_from"]], line_no, f["row_to"])
-        if target:
-            known = state.get(target)
-            if known is None or known[0][2] != line_no:
-                for ref in f["rest_vars"]:
-                    if ref in state and not state[ref][2]:
-                        state[target] = extend(state[ref], line_no, target)
-                        break
-            if f["cleans"]:
-                for ref in f["rest_vars"]:
-                    if ref in state:
-                        source, path, _ = state[ref]
-                        state[target] = (source, path, True)
-                        break
-        for sink in f["sinks"]:
-            for ref in f["line_vars"]:
-                info = state.get(ref)
-                if info is None or info[2]:
-                    continue
-                source, path, _ = info
-                if source[1] == V.DB_FETCH_KEY and sink not in _XSS_SINKS:
-                    continue
-                steps = [(line_no, "sink", ref)]
-                while path is not None:
-                    steps.append(path[0])
-                    path = path[1]
-                flows.append(
-                    {
-                        "line_no": line_no,
-                        "sink": sink,
-                        "variable": ref,
-                        "src_var": source[0],
-                        "src_key": source[1],
-                        "src_line": source[2],
-                        "steps": [
-                            {"line_no": n, "operation": op, "variable": v}
-                            for n, op, v in reversed(steps)
-                        ],
-                    }
-                )
-    return flows
+def _tracer():
+    """The Arrow function; it carries its constants and needs no package on workers."""
+    follow, flow_type = walk.walk, to_arrow_type(T.ArrayType(FLOW_STRUCT))
+    fetch_key = V.DB_FETCH_KEY
+    output_sinks = {n for n, s in enumerate(V.SINKS) if s[1] == "Cross-Site Scripting"}
 
+    def trace(facts: pa.Array) -> pa.Array:
+        flows = [follow(f, fetch_key, output_sinks) for f in facts.to_pylist()]
+        return pa.array(flows, flow_type)
 
-@F.arrow_udf(T.ArrayType(FLOW_STRUCT))
-def _trace(facts: pa.Array) -> pa.Array:
-    return pa.array([_walk(f) for f in facts.to_pylist()], _FLOW_TYPE)
+    return F.arrow_udf(trace, T.ArrayType(FLOW_STRUCT))
 
 
 def with_flows(df: DataFrame) -> DataFrame:
@@ -208,11 +137,11 @@ def with_flows(df: DataFrame) -> DataFrame:
         "facts", lambda f: (f["src_key"] != "") | (f["fetch_var"] != "")
     ) & F.exists("facts", lambda f: F.size(f["sinks"]) > 0)
     relevant = F.when(possible, F.col("facts")).otherwise(F.slice("facts", 1, 0))
-    return df.withColumn("flows", _trace(relevant))
+    return df.withColumn("flows", _tracer()(relevant))
 
 
 def sink_function(sink: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s[0]) for s in V.SINKS]), sink + 1)
+    return F.element_at(constant_list(s[0] for s in V.SINKS), sink + 1)
 
 
 def flow_candidates() -> Column:
