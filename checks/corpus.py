@@ -88,3 +88,102 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_files(spark, sf_dir).unionByName(text_files(spark, sf_dir))
+
+
+# -- small project files -----------------------------------------------------------
+
+
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest or marker file for each project (one per nation)."""
+    n = F.col("n_nationkey")
+    project = F.concat(F.lit("p"), n.cast("string"))
+    kind = n % 6
+    name = F.when(kind == 1, F.lit("wp-config.php")).otherwise(F.lit("composer.json"))
+    content = (
+        F.when(kind == 0, F.lit('{"name":"x/y","require":{"php":">=8","laravel/framework":"^10.0"}}'))
+        .when(kind == 1, F.lit("<?php define('X', 1);"))
+        .when(kind == 2, F.lit('{"require":{"symfony/framework-bundle":"6.*","php":"8"}}'))
+        .when(kind == 3, F.lit('{"require":{"codeigniter4/framework":"4.1"}}'))
+        .when(kind == 4, F.lit('{"require":{"yiisoft/yii2":"2.0","laravel/framework":"^9"}}'))
+        .otherwise(F.lit("{not json"))
+    )
+    return table(spark, sf_dir, "nation").select(
+        project.alias("project"), F.concat(project, F.lit("/"), name).alias("path"),
+        content.alias("content"),
+    )
+
+
+def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration files: at the root of some projects, and below it in others."""
+    n = F.col("n_nationkey")
+    project = F.concat(F.lit("p"), n.cast("string"))
+    root = F.concat(
+        F.lit('{"min_severity":"'), F.when(n % 4 == 0, F.lit(" High ")).otherwise(F.lit("bogus")),
+        F.lit('","exclude_patterns":["a/*","b"],"concurrency":'), (n % 3 - 1).cast("string"),
+        F.lit(',"no_html":true,"json_output":false}'),
+    )
+    deep = F.concat(
+        F.lit('{"context_lines":'), (n % 5).cast("string"),
+        F.lit(',"disabled_rules":["X-1"],"output_dir":"out","min_severity":""}'),
+    )
+    rows = table(spark, sf_dir, "nation").select(
+        project.alias("project"), n.alias("n"),
+        F.inline(
+            F.array(
+                F.struct(F.lit("").alias("dir"), root.alias("content")),
+                F.struct(F.lit("/src").alias("dir"), deep.alias("content")),
+            )
+        ),
+    )
+    kept = rows.where(((F.col("dir") == "") & (F.col("n") % 3 != 1)) | ((F.col("dir") != "") & (F.col("n") % 2 == 0)))
+    return kept.select(
+        "project", F.concat("project", "dir", F.lit("/" + CONFIG_NAME)).alias("path"), "content"
+    )
+
+
+def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One custom rule file per part; some incomplete, some not JSON."""
+    k = F.col("p_partkey")
+    name = F.col("p_name")
+    severity = (
+        F.when(k % 5 == 0, F.lit(" Critical")).when(k % 5 == 1, F.lit("HIGH"))
+        .when(k % 5 == 2, F.lit("info")).otherwise(F.lit("odd"))
+    )
+    content = F.when(k % 11 == 0, F.lit("{broken")).otherwise(
+        F.concat(
+            F.lit('{"rules":[{"id":"PART-'), k.cast("string"), F.lit('","category":"'),
+            F.when(k % 7 == 0, F.lit("")).otherwise(F.col("p_type")),
+            F.lit('","severity":"'), severity, F.lit('","cwe":"CWE-1","patterns":["(?i)'), name,
+            F.lit('","b+"],"tags":["t1","t2"]},{"id":"X","category":"c","patterns":[]}]}'),
+        )
+    )
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("rules/part"), k.cast("string"), F.lit(".json")).alias("path"),
+        content.alias("content"),
+    )
+
+
+def external_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule of a structural matcher per part."""
+    k = F.col("p_partkey")
+    pattern = (
+        F.when(k % 6 == 0, F.concat(F.lit("f($X, ...,  $VAR_1["), F.col("p_name"), F.lit("])")))
+        .when(k % 6 == 1, F.lit("a(...)+b(...){ ... }"))
+        .when(k % 6 == 2, F.lit(""))
+        .when(k % 6 == 3, F.lit("  $lower->query($SQL . $id) ^ c|d? "))
+        .when(k % 6 == 4, F.concat(F.lit("eval(...); "), F.col("p_brand")))
+        .otherwise(F.lit("$A = $B...$C"))
+    )
+    return table(spark, sf_dir, "part").select(
+        (k + 1).cast("int").alias("ord"),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("ext-"), k.cast("string"))).alias("id"),
+        F.col("p_name").alias("message"),
+        F.when(k % 3 == 0, F.lit("ERROR")).when(k % 3 == 1, F.lit("warning "))
+        .otherwise(F.lit("x")).alias("severity"),
+        pattern.alias("pattern"),
+        F.when(k % 5 == 0, F.array(F.lit("python"))).otherwise(F.array(F.lit("js"), F.lit("PHP")))
+        .alias("languages"),
+        F.when(k % 2 == 0, F.lit("CWE-5")).alias("cwe"),
+        F.when(k % 3 == 1, F.col("p_type")).otherwise(F.lit("")).alias("category"),
+        F.concat(F.lit("ext/"), F.col("p_brand"), F.lit(".yaml")).alias("source_file"),
+    )

@@ -128,6 +128,13 @@ if (file_exists({v})) {
     $note = 'checked';
     unlink({v});
 }
+if (file_exists($cfg)) {
+  $y = 2;
+  $z = readfile($cfg);
+$s = htmlspecialchars($a); print $_GET['q'];
+$n = intval($a); mysql_query($sql . {v});
+$p = realpath($a); unlink($_GET['f']);
+$s = esc_html($t) . strip_tags($u); echo $_POST['c'];
 if (file_exists($path)) {
 $a = 1;
 $b = 2;

@@ -49,9 +49,13 @@ def rejected_files(files: DataFrame) -> DataFrame:
 
 def explode_lines(with_lines_df: DataFrame) -> DataFrame:
     """One row per line: ``(project, path, line_no, text)``."""
-    return with_lines_df.select(
-        "project", "path", F.posexplode("lines").alias("pos", "text")
-    ).select("project", "path", (F.col("pos") + 1).alias("line_no"), "text")
+    # The outer form keeps Catalyst from building the array twice, once for a size
+    # filter below the generator.
+    return (
+        with_lines_df.select("project", "path", F.posexplode_outer("lines").alias("pos", "text"))
+        .where(F.col("pos").isNotNull())
+        .select("project", "path", (F.col("pos") + 1).alias("line_no"), "text")
+    )
 
 
 def scan_text(text: Column) -> Column:

@@ -27,11 +27,7 @@ RECOMMENDATION = "Review finding and apply recommended fix"
 
 
 def line_pattern(pattern: Column) -> Column:
-    """Line pattern for a structural one; ``''`` if there is none.
-
-    Ellipses and metavariables are taken out before quoting, so quoting cannot
-    touch what they turn into.
-    """
+    """Line pattern for a structural one; ``''`` if there is none."""
     bare = F.trim(pattern)
     ellipses = F.size(F.split(bare, r"\.\.\.", -1)) - 1
     # Metavariables never contain a quoted character and an ellipsis is three of
