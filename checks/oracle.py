@@ -599,7 +599,8 @@ def all_sql() -> dict[str, str]:
         "sev_counts": f"SELECT {_SEV} AS severity, count(*) AS n FROM shown GROUP BY 1",
         "cat_counts": "SELECT category, count(*) AS n FROM shown GROUP BY 1 ORDER BY n DESC, category",
         "conf_counts": f"SELECT {_CONF} AS confidence, count(*) AS n FROM shown GROUP BY 1",
-        "scan_totals": """SELECT * FROM (SELECT project, count(DISTINCT path) AS files_scanned, count(*) AS total_lines
+        "scan_totals": """SELECT * REPLACE (coalesce(suppressed, 0) AS suppressed, coalesce(active, 0) AS active)
+            FROM (SELECT project, count(DISTINCT path) AS files_scanned, count(*) AS total_lines
             FROM lines GROUP BY 1) LEFT JOIN (SELECT project, count(*) FILTER (WHERE suppressed) AS suppressed,
             count(*) FILTER (WHERE NOT suppressed) AS active FROM final GROUP BY 1) USING (project)""",
         "summary_pivot": "SELECT project, count(*) AS total, " + ", ".join(
@@ -618,9 +619,9 @@ def all_sql() -> dict[str, str]:
         "report_summary": f"""
 SELECT project, to_json({{files_scanned: files_scanned, total_lines: total_lines,
   total_findings: coalesce(total, 0), suppressed: coalesce(suppressed, 0), rules_loaded: {len(RULES)},
-  by_severity: {{critical: s4, high: s3, medium: s2, low: s1, info: s0}},
+  by_severity: {{critical: coalesce(s4, 0), high: coalesce(s3, 0), medium: coalesce(s2, 0), low: coalesce(s1, 0), info: coalesce(s0, 0)}},
   by_category: coalesce(by_category, MAP {{}}::MAP(VARCHAR, BIGINT)),
-  by_confidence: {{high: c2, medium: c1, low: c0}}}})::VARCHAR AS summary
+  by_confidence: {{high: coalesce(c2, 0), medium: coalesce(c1, 0), low: coalesce(c0, 0)}}}})::VARCHAR AS summary
 FROM (SELECT project, count(DISTINCT path) AS files_scanned, count(*) AS total_lines FROM lines GROUP BY 1)
 LEFT JOIN (SELECT project, count(*) FILTER (WHERE NOT suppressed) AS total,
   count(*) FILTER (WHERE suppressed) AS suppressed, """ + ", ".join(

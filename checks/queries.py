@@ -310,9 +310,10 @@ def conf_counts(spark, sf):
 
 
 def scan_totals(spark, sf):
-    return S.file_totals(lined(spark, sf)).join(
+    totals = S.file_totals(lined(spark, sf)).join(
         S.suppressed_totals(all_findings(spark, sf)), "project", "left"
     )
+    return totals.fillna(0, ["suppressed", "active"])
 
 
 def summary_pivot(spark, sf):
@@ -363,7 +364,7 @@ def fingerprint(spark, sf):
 
 def _baseline(findings):
     """An earlier state: files with an odd number were not there, some lines moved."""
-    number = F.regexp_extract("path", r"/f(\d+)\.", 1).cast("bigint")
+    number = F.expr(r"try_cast(regexp_extract(path, r'/f(\d+)\.', 1) AS BIGINT)")
     old = findings.where(number % 2 == 0)
     return B.as_baseline(
         old.withColumn(
