@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.templates import TEMPLATES
+from riskloom.functions.plan import computed_once
 from riskloom.functions.sqltext import constant_list
 
 CONFIG_NAME = ".scan-config.json"
@@ -65,11 +66,13 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit(".php"))
     )
     project = F.concat(F.lit("p"), F.col("c_nationkey").cast("string"))
-    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")).select(
-        project.alias("project"),
-        F.concat(project, F.lit("/"), folder, F.lit("/f"), k.cast("string"), ext).alias("path"),
-        F.replace(content, F.lit("\n"), eol).alias("content"),
+    rows = computed_once(
+        spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")),
+        project=project,
+        path=F.concat(project, F.lit("/"), folder, F.lit("/f"), k.cast("string"), ext),
+        content=F.replace(content, F.lit("\n"), eol),
     )
+    return rows.select("project", "path", "content")
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:

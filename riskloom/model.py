@@ -88,7 +88,9 @@ class ScanSettings:
     show_suppressed: bool = False
     custom_rules: tuple[Rule, ...] = field(default=())
     framework_packs: bool = True
-    file_level_extras: bool = False
+    # Severity and id selection concerns line rules only, unless this is on.
+    filter_all_passes: bool = False
+    # Also treat ``$row = $stmt->fetch()`` as a database fetch.
     extended_fetch: bool = False
 
     def but(self, **changes) -> "ScanSettings":

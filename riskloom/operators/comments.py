@@ -31,7 +31,7 @@ def line_effect(text: Column) -> Column:
     from_outside = _opens(text)
     from_inside = (end == 0) | _opens(F.substr(text, end + 2))
     return (
-        F.when(~F.contains(text, F.lit("/*")) & (end == 0), F.lit("I"))
+        F.when(~F.contains(text, F.lit("/*")) & ~F.contains(text, F.lit("*/")), F.lit("I"))
         .when(from_outside & from_inside, F.lit("O"))
         .when(~from_outside & ~from_inside, F.lit("C"))
         .when(from_outside, F.lit("S"))
@@ -41,7 +41,7 @@ def line_effect(text: Column) -> Column:
 
 def with_comment_state(df: DataFrame) -> DataFrame:
     """Adds ``in_comment``: per line "1" if a block comment is open before it."""
-    effects = F.array_join(F.transform("lines", lambda t: line_effect(scan_text(t))), "")
+    effects = F.array_join(F.transform(F.transform("lines", scan_text), line_effect), "")
     regions = F.regexp_extract_all(effects, F.lit(_REGIONS), F.lit(0))
 
     def states(region: Column) -> Column:

@@ -6,9 +6,9 @@ file row with ``lines``; ``rule`` is an index into :data:`DETECTOR_RULES`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.functions.text import first_match, matches
+from riskloom.functions.text import first_match, match_start, matches
 from riskloom.model import (
     CONF_HIGH, CONF_LOW, CONF_MEDIUM, HIGH, LOW, MEDIUM, Rule,
 )
@@ -190,3 +190,27 @@ def missing_headers() -> Column:
         )
     found = F.filter(F.array(*options), lambda c: c.isNotNull())
     return F.when(has_output, found).otherwise(F.slice(found, 1, 0))
+
+
+def file_level_matches(with_lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Hits of patterns that span lines: first match per file, at the line it starts on.
+
+    Not part of a normal scan.
+    """
+    df = with_lines.select("project", "path", F.array_join("lines", "\n").alias("body"))
+    options = [
+        F.when(
+            matches(F.col("body"), r.pattern),
+            F.struct(
+                F.lit(r.rule_id).alias("rule_id"),
+                first_match(F.col("body"), r.pattern).alias("match_text"),
+                match_start(F.col("body"), r.pattern).alias("at"),
+            ),
+        )
+        for r in rules
+    ]
+    rows = df.select("project", "path", "body", F.explode_outer(F.array(*options)).alias("h"))
+    line_no = F.size(F.split(F.expr("left(body, h.at - 1)"), "\n", -1))
+    return rows.where(F.col("h").isNotNull()).select(
+        "project", "path", line_no.alias("line_no"), "h.rule_id", "h.match_text"
+    )

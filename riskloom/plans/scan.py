@@ -26,6 +26,11 @@ def raw_findings(
     book = O.RuleBook(select_rules(all_rules(settings), settings))
     df = O.file_columns(with_lines(files), book.rules, settings)
     found = O.judged(O.exploded(df, O.all_candidates(book, settings)), book, settings)
+    if settings.filter_all_passes:
+        off = [rule_id.strip().upper() for rule_id in settings.disabled_rules]
+        found = found.where(
+            (F.col("severity") >= settings.min_severity) & ~F.upper("rule_id").isin(off)
+        )
     return keep_own_packs(found, frameworks) if use_packs else found.drop("pack")
 
 
