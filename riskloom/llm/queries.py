@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from riskloom.llm.byte_bpe import op6_byte_bpe
 from riskloom.llm.chat_windows import OP3_SQL, op3_chat_windows
 from riskloom.llm.mixing import OP1_SQL, op1_mixing
 from riskloom.llm.quality_lines import OP2_SQL, op2_quality_lines
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_lines": op2_quality_lines,
     "op3_chat_windows": op3_chat_windows,
+    "op6_byte_bpe": op6_byte_bpe,
 }
 ORACLE = {
     "op1_mixing": OP1_SQL,
