@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskloom.llm.byte_bpe import op6_byte_bpe
 from riskloom.llm.chat_windows import OP3_SQL, op3_chat_windows
+from riskloom.llm.hilbert_neighbours import op4_hilbert_neighbours
 from riskloom.llm.language import op7_language
 from riskloom.llm.mixing import OP1_SQL, op1_mixing
 from riskloom.llm.quality_lines import OP2_SQL, op2_quality_lines
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_lines": op2_quality_lines,
     "op3_chat_windows": op3_chat_windows,
+    "op4_hilbert_neighbours": op4_hilbert_neighbours,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language": op7_language,
 }
