@@ -8,12 +8,14 @@ from riskloom.llm.hilbert_neighbours import op4_hilbert_neighbours
 from riskloom.llm.language import op7_language
 from riskloom.llm.mixing import OP1_SQL, op1_mixing
 from riskloom.llm.quality_lines import OP2_SQL, op2_quality_lines
+from riskloom.llm.suffix_dedup import OP5_SQL, op5_suffix_dedup
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_lines": op2_quality_lines,
     "op3_chat_windows": op3_chat_windows,
     "op4_hilbert_neighbours": op4_hilbert_neighbours,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language": op7_language,
 }
@@ -21,4 +23,5 @@ ORACLE = {
     "op1_mixing": OP1_SQL,
     "op2_quality_lines": OP2_SQL,
     "op3_chat_windows": OP3_SQL,
+    "op5_suffix_dedup": OP5_SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -55,3 +56,10 @@ def ranked(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame
         total += counts.get(part, 0)
     base = F.element_at(F.lit(starts or [0]), F.col("_part") + 1)
     return dealt.withColumn(name, (base + F.col("_at")).cast("long")).drop("_part", "_at")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a compressed table in the shared folder: for wide rows read more than once."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
