@@ -7,6 +7,7 @@ from riskloom.llm.chat_windows import OP3_SQL, op3_chat_windows
 from riskloom.llm.hilbert_neighbours import op4_hilbert_neighbours
 from riskloom.llm.language import op7_language
 from riskloom.llm.mixing import OP1_SQL, op1_mixing
+from riskloom.llm.pii_disclosure import op8_pii_disclosure
 from riskloom.llm.quality_lines import OP2_SQL, op2_quality_lines
 from riskloom.llm.secret_randomness import op10_secret_randomness
 from riskloom.llm.suffix_dedup import OP5_SQL, op5_suffix_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language": op7_language,
+    "op8_pii_disclosure": op8_pii_disclosure,
     "op10_secret_randomness": op10_secret_randomness,
 }
 ORACLE = {

@@ -25,7 +25,6 @@ text are copies of each other; an empty table gives no rows; further columns are
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskloom.llm.rolling import mixed, powers, prefix_sums
 from riskloom.llm.shared import settled, stored, table
 from riskloom.llm.suffix_sort import deep_shallow
 
@@ -40,25 +40,6 @@ LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1  # anchors that a window may have
 SLICE = 1 << 20
 MOST_BLOCKS = 20_000
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-
-
-@functools.cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    size = 2 * SLICE + 4 * LENGTH
-    up, down = np.empty(size + 1, np.uint64), np.empty(size + 1, np.uint64)
-    for out, base in ((up, BASE), (down, BASE_INVERSE)):
-        out[0] = 1
-        out[1:] = base
-        np.multiply.accumulate(out, out=out)
-    return up, down
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -85,11 +66,10 @@ def blocks_of(parts: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
     none = {"text": empty, "anchor": empty, "block": empty, "at": empty, "low": empty, "high": empty}
     if len(data) < LENGTH:
         return none
-    up, down = _powers()
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    up, down = powers(2 * SLICE + 4 * LENGTH)
+    sums = prefix_sums(data, up)
     grams = len(data) - GRAM + 1
-    hashes = _mixed((sums[GRAM:] - sums[:grams]) * down[:grams])
+    hashes = mixed((sums[GRAM:] - sums[:grams]) * down[:grams])
     places = np.arange(grams, dtype=np.uint64)
     low_bits = np.uint64((1 << 24) - 1)
     least = _sliding_min((hashes & ~low_bits) | places, SPAN)
@@ -106,7 +86,7 @@ def blocks_of(parts: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
     last = np.append(first[1:], len(start)) - 1
     low, high, at, own = start[first], start[last], anchor_at[first], owner[first]
     block = (sums[high + LENGTH] - sums[low]) * down[low]
-    block = _mixed(block + _mixed(((high - low) * 512 + (at - low)).astype(np.uint64)))
+    block = mixed(block + mixed(((high - low) * 512 + (at - low)).astype(np.uint64)))
     begins = ends[own] - sizes[own]
     moved = np.array([p[1] for p in parts], np.int64)[own] - begins
     return {
