@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskloom.llm.byte_bpe import op6_byte_bpe
 from riskloom.llm.chat_windows import OP3_SQL, op3_chat_windows
+from riskloom.llm.chosen_path import OP9_SQL, op9_chosen_path
 from riskloom.llm.hilbert_neighbours import op4_hilbert_neighbours
 from riskloom.llm.language import op7_language
 from riskloom.llm.mixing import OP1_SQL, op1_mixing
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language": op7_language,
     "op8_pii_disclosure": op8_pii_disclosure,
+    "op9_chosen_path": op9_chosen_path,
     "op10_secret_randomness": op10_secret_randomness,
 }
 ORACLE = {
@@ -28,4 +30,5 @@ ORACLE = {
     "op2_quality_lines": OP2_SQL,
     "op3_chat_windows": OP3_SQL,
     "op5_suffix_dedup": OP5_SQL,
+    "op9_chosen_path": OP9_SQL,
 }
