@@ -355,7 +355,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (least id of the class), n_links (different texts that are similar) per document."""
+    """doc_id, mark (a hash of id and text), class_id (least id of the class), n_links (different
+    texts that are similar) per document."""
     all_rows = stored(sets_of(documents, similarity, recall))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
     nodes = stored(
@@ -414,15 +415,34 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, recall
         nodes.select("node", "doc_id").join(labels, "node", "left").join(least, "label", "left").join(links, "node", "left")
         .select("node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    return all_rows.select("doc_id", "node", "n_tokens").join(classes, "node", "left").select(
-        "doc_id",
+    return all_rows.select("doc_id", "mark", "node", "n_tokens").join(classes, "node", "left").select(
+        "doc_id", "mark",
         F.when(F.col("n_tokens") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents, all columns, with one document of each class: the one of the least id.
+
+    Documents without words are no class and all stay, except rows equal in id and text.
+    """
+    mark = F.xxhash64("doc_id", text_or_empty())
+    rows = settled(near_duplicates(documents))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    each = rows.groupBy("class_id", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = each.groupBy("class_id").agg(F.min(place).alias("one"), F.max("n").alias("n"))
+    keep = settled(first.select(F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"), "n"))
+    kept = documents.join(
+        keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_semi"
+    )
+    if keep.filter("n > 1").isEmpty():
+        return kept
+    return kept.withColumn("_mark", mark).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
 
 
 OP9_SQL = r"""

@@ -22,6 +22,7 @@ from riskloom.llm.shared import WORD, ranked, settled, table, text_or_empty
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
 HASH_BITS, STEP_BITS = 60, 10
+COARSE = HASH_BITS - STEP_BITS
 
 
 def word_count(text: str = "text") -> Column:
@@ -86,7 +87,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
     The row at which the budget ends is taken if that brings the sum nearer.
     """
-    shift, inside, left, done = HASH_BITS - STEP_BITS, rows, budgets, None
+    shift, inside, left, done = COARSE, rows, budgets, None
     while True:
         histogram = _by_bucket(inside, shift)
         upto = Window.partitionBy("source").orderBy("bucket")
@@ -116,19 +117,17 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         shift = max(0, shift - STEP_BITS)
 
 
-def mix(
-    documents: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES,
-    share: float = 1.0,
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken for every document.
+def _planned(
+    documents: DataFrame, weights: Sequence[float], most_times: int, share: float,
+) -> tuple[DataFrame, DataFrame]:
+    """Sizes and hashes of all rows; by source and hash bucket, what the mix does with them.
 
-    times: how often the mix takes the document; taken = times x size.
+    One row per source and bucket: rows of one large source find their plan by 1,024 keys.
     """
     rows = settled(
         documents.select("doc_id", "source", word_count().alias("size"), row_hash().alias("hash"))
     )
-    coarse = HASH_BITS - STEP_BITS
-    buckets = settled(_by_bucket(rows, coarse).select("source", "bucket", "n"))
+    buckets = settled(_by_bucket(rows, COARSE).select("source", "bucket", "n"))
     sizes = buckets.groupBy("source").agg(F.sum("n").alias("source_size"))
     targets = settled(source_targets(sizes, weights, most_times, share))
     whole = F.when(
@@ -141,19 +140,47 @@ def mix(
     plan = targets.join(
         cuts.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left"
     ).select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
-    # One row per source and hash bucket: rows of one large source find their plan by 1,024 keys.
     spread = buckets.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"))
-    keyed = spread.join(plan, F.col("_source").eqNullSafe(F.col("source"))).drop("source")
-    bucket = F.shiftright("hash", coarse)
-    times = F.col("whole") + (F.col("hash") < F.col("cut")).cast("long")
-    return (
-        rows.join(keyed, F.col("source").eqNullSafe(F.col("_source")) & (bucket == F.col("_bucket")))
-        .withColumn("times", times)
-        .select(
-            "doc_id", "source", "size", "source_size", "target", "times",
-            (F.col("times") * F.col("size")).alias("taken"), "hash",
-        )
+    keyed = spread.join(plan, F.col("_source").eqNullSafe(F.col("source"))).select(
+        "_source", "_bucket", F.col("source_size").alias("_size"), F.col("target").alias("_target"),
+        F.col("whole").alias("_whole"), F.col("cut").alias("_cut"),
     )
+    return rows, keyed
+
+
+def _with_plan(rows: DataFrame, keyed: DataFrame, row_hash_: Column) -> DataFrame:
+    """rows with _times: how often the mix takes the row."""
+    bucket = F.shiftright(row_hash_, COARSE)
+    return rows.join(
+        keyed, F.col("source").eqNullSafe(F.col("_source")) & (bucket == F.col("_bucket"))
+    ).withColumn("_times", F.col("_whole") + (row_hash_ < F.col("_cut")).cast("long"))
+
+
+def mix(
+    documents: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES,
+    share: float = 1.0,
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, times, taken for every document.
+
+    times: how often the mix takes the document; taken = times x size.
+    """
+    rows, keyed = _planned(documents, weights, most_times, share)
+    return _with_plan(rows, keyed, F.col("hash")).select(
+        "doc_id", "source", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"),
+        F.col("_times").alias("times"), (F.col("_times") * F.col("size")).alias("taken"),
+    )
+
+
+def mixed_documents(
+    documents: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES,
+    share: float = 1.0,
+) -> DataFrame:
+    """The documents of the mix, all columns; a document taken twice is there twice."""
+    _, keyed = _planned(documents, weights, most_times, share)
+    planned = _with_plan(documents, keyed, row_hash())
+    return planned.filter("_times > 0").withColumn(
+        "_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
+    ).select(*documents.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

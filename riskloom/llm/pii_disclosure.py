@@ -226,18 +226,18 @@ def sanitised(documents: DataFrame) -> DataFrame:
     """The documents, all columns, with entities generalised and disclosing terms generalised or removed."""
     mark = F.xxhash64("doc_id", text_or_empty())
     hits = protected(documents).filter("terms IS NOT NULL").select(
-        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "terms"
+        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("terms").alias("_terms")
     ).distinct()
     joined = documents.join(
         hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left"
-    ).select(*documents.columns, "terms")
+    ).select(*documents.columns, "_terms")
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 None if text is None else sanitised_text(text, [(t["start"], t["end"]) for t in terms or []])
-                for text, terms in zip(batch.column("text").to_pylist(), batch.column("terms").to_pylist())
+                for text, terms in zip(batch.column("text").to_pylist(), batch.column("_terms").to_pylist())
             ]
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -124,6 +124,14 @@ def measured(documents: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def cleaned_documents(documents: DataFrame) -> DataFrame:
+    """The kept documents, all columns, their texts without the failing lines."""
+    whole = documents.select(F.struct(*documents.columns).alias("_row"), "text")
+    kept = measured(whole, "_row").filter("kept")
+    text = lambda c: F.when(F.col("lost_chars") > 0, F.col("cleaned")).otherwise(F.col("_row.text")) if c == "text" else F.col("_row")[c]
+    return kept.select(*[text(c).alias(c) for c in documents.columns])
+
+
 def op2_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(table(spark, sf_dir, "documents"), "doc_id").drop("cleaned")
 
