@@ -35,7 +35,7 @@ from riskloom.llm.shared import GAP, settled, stored, table, text_or_empty
 WORDS, SIMILARITY, RECALL = 5, 0.8, 1 - 1e-6
 SKETCH, ALIKE = 64, 28  # minhash bytes; at 0.8 fewer than 28 of 64 agree with chance below 1e-11
 LARGE, BLOCK, DEPTH = 1_500, 750, 3
-SPLIT_TOKENS = 4.0
+SPLIT_TOKENS = 4
 BATCH_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ODD = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
@@ -138,25 +138,20 @@ def sets_of(documents: DataFrame, similarity: float, recall: float) -> DataFrame
     )
 
 
-def _split(large: DataFrame, tokens: DataFrame) -> DataFrame:
-    """large: path, node.  The next choices of each set on tokens sampled for its path."""
+def _split(large: DataFrame, nodes: DataFrame) -> DataFrame:
+    """large: path, node.  The next choices of each set.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, paths = [], []
-            for n, (path, own) in enumerate(zip(batch.column("path").to_pylist(), batch.column("tokens"))):
-                own = np.frombuffer(own.as_py(), np.uint64)
-                seed = mixed(np.array([path], np.int64).view(np.uint64) + np.uint64(1))
-                found = chosen(own, seed, SPLIT_TOKENS)[0]
-                nodes += [n] * len(found)
-                paths.append(mixed(found ^ seed).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(paths) if paths else [], pa.int64()),
-                 batch.column("node").take(pa.array(nodes, pa.int64()))],
-                ["path", "node"],
-            )
-
-    return large.join(tokens, "node").select("path", "node", "tokens").mapInArrow(run, "path long, node binary")
+    The least token under a random order is a sampled token that similar sets share; the minhash
+    bytes tell which.  Each path samples its own orders.
+    """
+    order = lambda n: F.pmod(F.xxhash64("path", F.lit(n)), F.lit(SKETCH)).cast("int") + 1
+    found = F.array(*[
+        F.struct(F.xxhash64("path", order(n), F.substr("sketch", order(n), F.lit(1))).alias("next"))
+        for n in range(SPLIT_TOKENS)
+    ])
+    return large.join(nodes.select("node", "sketch"), "node").select(
+        F.inline(F.array_distinct(found)), "node"
+    ).withColumnRenamed("next", "path")
 
 
 def _fetched(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -368,9 +363,6 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, recall
     places = nodes.select(F.explode("paths").alias("path"), "node")
     sizes = settled(_sizes(places))
     places = settled(places.join(sizes.select("path"), "path", "left_semi"))
-    tokens = stored(
-        _fetched(documents, nodes.join(places.select("node").distinct(), "node", "left_semi"))
-    )
     # Split large buckets whose sets are not alike; the others wait as leaves.
     leaves, rest = None, places
     for depth in range(DEPTH):
@@ -383,7 +375,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, recall
             break
         done = rest.join(loose, "path", "left_anti")
         leaves = done if leaves is None else leaves.unionByName(done)
-        rest = settled(_split(rest.join(loose, "path", "left_semi"), tokens))
+        rest = settled(_split(rest.join(loose, "path", "left_semi"), nodes))
         sizes = settled(_sizes(rest))
         rest = rest.join(sizes.select("path"), "path", "left_semi")
     leaves = settled((rest if leaves is None else leaves.unionByName(rest)).distinct())
@@ -407,6 +399,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, recall
         .select("path", "first", "second", "node", "side", "n_tokens", "sketch", "leaves")
     )
     looked = stored(_looked_at(buckets, similarity))
+    tokens = stored(
+        _fetched(documents, nodes.join(looked.select("node").distinct(), "node", "left_semi"))
+    )
     decided = stored(_decided(looked.join(tokens, "node"), similarity))
     links = decided.groupBy("node").agg(F.sum("links").alias("n_links"))
     labels = components(decided.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
