@@ -3,7 +3,7 @@
 Every run samples tokens by a hash of run and token; a set chooses a token if the hash is below
 1 / (similarity x size), so a set chooses 1.25 tokens and two sets of the wanted similarity share one
 choice on average.  Sets that chose the same token are a bucket.  A large bucket is split again in the
-same way, on tokens sampled for its path, unless its sets are alike already; what is still large
+same way, on tokens sampled for its path (the least under random orders, kept as minhash bytes), unless its sets are alike already; what is still large
 then is compared in pairs of blocks.  Runs are repeated until the chance that a pair at the threshold
 never meets is below 1 - recall.
 
@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from riskloom.llm.rolling import mixed, powers, prefix_sums
 from riskloom.llm.shared import GAP, settled, stored, table, text_or_empty
 
-WORDS, SIMILARITY, RECALL = 5, 0.8, 1 - 1e-6
+WORDS, SIMILARITY, RECALL = 5, 0.8, 1 - 1e-5
 SKETCH, ALIKE = 64, 28  # minhash bytes; at 0.8 fewer than 28 of 64 agree with chance below 1e-11
-LARGE, BLOCK, DEPTH = 1_500, 750, 3
+LARGE, BLOCK, DEPTH = 3_000, 1_500, 3
 SPLIT_TOKENS = 4
 BATCH_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -177,7 +177,7 @@ def _sizes(places: DataFrame) -> DataFrame:
 
 def _alike(large: DataFrame, nodes: DataFrame) -> DataFrame:
     """path, alike: the mean similarity of all pairs in each large bucket, from counts of minhash bytes."""
-    some = range(0, SKETCH, 4)
+    some = range(0, SKETCH, SKETCH // 4)
     bytes_ = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("sketch", k + 1, 1).alias("v")) for k in some])
     each = large.join(nodes.select("node", "sketch"), "node").select("path", F.inline(bytes_))
     same = each.groupBy("path", "k", "v").agg(F.count("*").alias("n"))
