@@ -178,15 +178,21 @@ def disclosing(documents: DataFrame, found: DataFrame) -> DataFrame:
         .groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_pair"))
         .filter(F.col("support") >= LEAST_SUPPORT)
     )
-    pairs = stored(pairs)
-    n_term = term_counts(documents, pairs.select("term").distinct())
+    rows = around.select("entity", "term", "doc_id", "mark")
     n_entity = (
-        around.select("entity", "doc_id", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+        rows.select("entity", "doc_id", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     )
+    n_near = rows.select("term", "doc_id", "mark").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     total = documents.count()
-    both = pairs.join(n_entity, "entity").join(n_term, "term").withColumn(
-        "n", F.greatest("n", "n_pair")
+    # A term is in no fewer documents than it is near entities in; pairs that this bound
+    # already keeps below the threshold need no count over all documents.
+    most = F.col("n_pair") * F.pow(F.lit(float(max(total, 1))) / F.col("n_entity"), 1 - DISCLOSES)
+    pairs = stored(
+        pairs.join(n_entity, "entity").join(n_near, "term")
+        .filter(F.col("n_near") <= most * (1 + 1e-9)).drop("n_near")
     )
+    n_term = term_counts(documents, pairs.select("term").distinct())
+    both = pairs.join(n_term, "term").withColumn("n", F.greatest("n", "n_pair"))
     information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
     shared = F.log2(F.col("n_pair") * float(max(total, 1)) / (F.col("n") * F.col("n_entity")))
     return both.withColumn("share", F.when(information > 0, shared / information)).filter(
