@@ -19,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the input comes in fewer splits (small test files)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One code file per customer: 20 to 60 template lines, some of them odd."""
     k = F.col("c_custkey")
@@ -67,7 +61,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     project = F.concat(F.lit("p"), F.col("c_nationkey").cast("string"))
     rows = computed_once(
-        spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")),
+        table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
         project=project,
         path=F.concat(project, F.lit("/"), folder, F.lit("/f"), k.cast("string"), ext),
         content=F.replace(content, F.lit("\n"), eol),
@@ -76,17 +70,30 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    docs = table(spark, sf_dir, "documents").select(
         F.lit("documents").alias("project"),
         F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".inc")).alias("path"),
         F.col("text").alias("content"),
     )
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
+    pages = table(spark, sf_dir, "pages").select(
         F.lit("pages").alias("project"),
         F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".phtml")).alias("path"),
         F.col("html").alias("content"),
     )
-    return docs.unionByName(pages)
+    talk = table(spark, sf_dir, "conversations").select(
+        F.lit("conversations").alias("project"),
+        F.concat(
+            F.lit("conversations/"), F.col("conv_id").cast("string"), F.lit("-"),
+            F.col("turn").cast("string"), F.lit(".inc"),
+        ).alias("path"),
+        F.col("text").alias("content"),
+    )
+    items = table(spark, sf_dir, "benchmark").select(
+        F.lit("benchmark").alias("project"),
+        F.concat(F.lit("benchmark/"), F.col("item_id").cast("string"), F.lit(".inc")).alias("path"),
+        F.col("text").alias("content"),
+    )
+    return docs.unionByName(pages).unionByName(talk).unionByName(items)
 
 
 def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +118,7 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("{not json"))
     )
     return table(spark, sf_dir, "nation").select(
-        project.alias("project"), F.concat(project, F.lit("/"), name).alias("path"),
-        content.alias("content"),
+        project.alias("project"), name.alias("path"), content.alias("content"),
     )
 
 

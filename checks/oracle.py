@@ -119,7 +119,9 @@ FROM (SELECT 'p' || nk AS project, k,
 CTES["all_files"] = """
 SELECT project, path, content FROM code_files
 UNION ALL SELECT 'documents', 'documents/' || doc_id || '.inc', text FROM documents
-UNION ALL SELECT 'pages', 'pages/' || page_id || '.phtml', html FROM pages"""
+UNION ALL SELECT 'pages', 'pages/' || page_id || '.phtml', html FROM pages
+UNION ALL SELECT 'conversations', 'conversations/' || conv_id || '-' || turn || '.inc', text FROM conversations
+UNION ALL SELECT 'benchmark', 'benchmark/' || item_id || '.inc', text FROM benchmark"""
 _skipped = "(^|/)(" + "|".join(d.replace(".", "\\.") for d in X.SKIPPED_DIRS) + ")/"
 _ext = "lower(regexp_extract(path, '(\\.[^./]*)$', 1))"
 CTES["files"] = f"""
@@ -132,9 +134,9 @@ CTES["lines"] = """
 SELECT project, path, line_no::INTEGER AS line_no,
        CASE WHEN ends_with(t, chr(13)) THEN left(t, length(t) - 1) ELSE t END AS text
 FROM (SELECT project, path, content, len(p) AS n, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS t
-      FROM parts WHERE path NOT IN (SELECT path FROM bad))
+      FROM parts)
 WHERE NOT (line_no = n AND (content = '' OR ends_with(content, chr(10))))"""
-CTES["scan"] = "SELECT project, path, line_no, substr(text, 1, 4096) AS text FROM lines"
+CTES["scan"] = "SELECT project, path, line_no, text FROM lines"
 
 # Comment state: constant or flipping functions of the state before.
 _f0 = "(instr({0}, '/*') > 0 AND instr(substr({0}, instr({0}, '/*')), '*/') = 0)"
@@ -233,7 +235,7 @@ SELECT project, path, line_no, rule_ord, rule_id, category, severity, cwe, descr
   source,
   CASE WHEN near_func IS NOT NULL THEN 0 WHEN {any_in('low', X.HIGH_CONFIDENCE_WORDS)} THEN 2
        WHEN rule_id IN {in_list(X.GENERIC_RULES)} THEN 0 WHEN severity >= 3 THEN 1 ELSE 0 END AS confidence,
-  {clip('visible', 200)} AS line_text, {clip('match', 100)} AS match_text,
+  {clip('visible', 200)} AS line_text, match AS match_text,
   coalesce(comment IS NOT NULL AND (contains(lower(comment), lower(rule_id)) OR NOT contains(comment, '-')), false)
     AS suppressed,
   coalesce(comment, '') AS suppressed_by,
@@ -263,8 +265,9 @@ SELECT path, line_no, CASE WHEN w IS NOT NULL AND w <= coalesce(e, w) THEN 'CSRF
 FROM (SELECT f.path, f.line_no, min(l.line_no) FILTER (WHERE {rx('l.text', ML.TOKEN_WORD)}) AS t,
         min(l.line_no) FILTER (WHERE {rx('l.text', ML.FORM_END)}) AS e,
         min(l.line_no) FILTER (WHERE {rx('l.text', ML.STATE_CHANGE)}) AS w
-      FROM (SELECT path, line_no FROM lines WHERE {rx('text', ML.POST_FORM)}) f
-      LEFT JOIN lines l ON l.path = f.path AND l.line_no BETWEEN f.line_no + 1 AND f.line_no + 30
+      FROM (SELECT path, line_no, next_form FROM (SELECT path, line_no, text, coalesce(lead(line_no) OVER (PARTITION BY path ORDER BY line_no), 1000000000) AS next_form
+              FROM lines WHERE contains(lower(text), '<form')) WHERE {rx('text', ML.POST_FORM)}) f
+      LEFT JOIN lines l ON l.path = f.path AND l.line_no > f.line_no AND l.line_no < f.next_form
       GROUP BY ALL)
 WHERE t IS NULL OR t > coalesce(e, t)"""
 CTES["d3"] = f"""
@@ -409,19 +412,19 @@ SELECT project, CASE kind WHEN 0 THEN 'laravel' WHEN 1 THEN 'wordpress' WHEN 2 T
 FROM manifests WHERE kind < 5"""
 CTES["every_rule"] = rules_cte(EVERY_RULE)
 CTES["applied"] = """
-SELECT p.project, r.* FROM (SELECT DISTINCT project FROM code_files) p
+SELECT p.project, r.* FROM (SELECT DISTINCT project FROM all_files) p
 LEFT JOIN frameworks f USING (project) JOIN every_rule r ON r.pack = '' OR r.pack = f.name"""
 CTES["every_hit"] = hits_cte(EVERY_RULE)
 _sev_case = "CASE lower(trim({0})) " + " ".join(
     f"WHEN {q(n)} THEN {r}" for n, r in SEVERITY_BY_NAME.items()) + " ELSE 1 END"
-CTES["targets"] = "SELECT DISTINCT project, regexp_replace(path, '/[^/]*$', '') AS dir FROM code_files"
+CTES["targets"] = "SELECT DISTINCT project, regexp_replace(path, '/[^/]*$', '') AS dir FROM all_files"
 CTES["configs"] = """
 SELECT 'p' || n_nationkey AS project, 'p' || n_nationkey AS config_dir, 0 AS depth, n_nationkey AS n
 FROM nation WHERE n_nationkey % 3 <> 1
 UNION ALL SELECT 'p' || n_nationkey, 'p' || n_nationkey || '/src', 1, n_nationkey FROM nation WHERE n_nationkey % 2 = 0"""
 CTES["nearest"] = """
 SELECT t.project, t.dir, arg_max(c.config_dir, depth) AS config_dir, max(depth) AS depth, any_value(n) AS n
-FROM targets t JOIN configs c ON c.project = t.project AND (t.dir = c.config_dir OR starts_with(t.dir, c.config_dir || '/'))
+FROM targets t LEFT JOIN configs c ON c.project = t.project AND (t.dir = c.config_dir OR starts_with(t.dir, c.config_dir || '/'))
 GROUP BY ALL"""
 
 
@@ -452,7 +455,7 @@ _SEV = _label("severity", SEVERITY_LABELS)
 _CONF = _label("confidence", ["LOW", "MEDIUM", "HIGH"])
 _FP = "left(sha256(concat_ws(':', rule_id, path, line_no, match_text)), 16)"
 _number = "try_cast(regexp_extract(path, '(\\d+)[.][a-zA-Z]+$', 1) AS BIGINT)"
-_OLD = f"""(SELECT path, {_FP} AS fingerprint FROM (SELECT rule_id, path, match_text,
+_OLD = f"""(SELECT project, path, {_FP} AS fingerprint FROM (SELECT project, rule_id, path, match_text,
   CASE WHEN line_no % 7 = 0 THEN line_no + 1000 ELSE line_no END AS line_no FROM judged
   WHERE try_cast(regexp_extract(path, '/f(\\d+)\\.', 1) AS BIGINT) % 2 = 0))"""
 _CHANGED = f"""SELECT project, path, sha256(content) AS sha256 FROM files
@@ -481,7 +484,7 @@ def _json_body() -> str:
     return f"""
 SELECT project, f.path, f.line_no, json_merge_patch('{{}}', to_json({{
   rule_id: f.rule_id, category: category, severity: {_SEV}, confidence: {_CONF}, file: f.path,
-  line: f.line_no, code: line_text, match: f.match_text, description: description,
+  line: f.line_no, code: line_text, match: {clip('f.match_text', 100)}, description: description,
   recommendation: recommendation, cwe: cwe, sanitized: CASE WHEN sanitized THEN true END,
   sanitizer_func: nullif(sanitizer_func, ''), source: nullif(source, ''), flow_steps: t.flow_steps,
   is_taint_flow: CASE WHEN is_taint THEN true END}}))::VARCHAR AS finding
@@ -528,7 +531,7 @@ SELECT CASE WHEN k % 4 = 0 THEN printf('SEMGREP-%03d', k + 1) ELSE 'ext-' || k E
 FROM (SELECT p_partkey AS k, *, CASE p_partkey % 6 WHEN 0 THEN 'f($X, ...,  $VAR_1[' || p_name || '])'
     WHEN 1 THEN 'a(...)+b(...){{ ... }}' WHEN 2 THEN '' WHEN 3 THEN '  $lower->query($SQL . $id) ^ c|d? '
     WHEN 4 THEN 'eval(...); ' || p_brand ELSE '$A = $B...$C' END AS pattern FROM part)
-WHERE k % 5 <> 0 AND pattern <> '' AND len(string_split(pattern, '...')) <= 3"""
+WHERE k % 5 <> 0 AND pattern <> ''"""
 
 
 def _excluded(patterns) -> str:
@@ -569,7 +572,7 @@ def all_sql() -> dict[str, str]:
         "rule_match": f"""SELECT path, line_no, rule_id, md5(match) AS match_md5,
             {clip('match', 100)} AS match_text FROM hit_rules""",
         "rule_match_pos": """SELECT path, line_no, rule_id, pos FROM hit_rules
-            WHERE pos > 0 AND project NOT IN ('documents', 'pages')""",
+            WHERE pos > 0""",
         "first_variable": "SELECT path, line_no, rule_id, variable FROM hit_rules",
         "exempt_prepare": _exempt_sql("prepare"),
         "exempt_echo_wrap": _exempt_sql("echo"),
@@ -631,18 +634,19 @@ LEFT JOIN (SELECT project, count(*) FILTER (WHERE NOT suppressed) AS total,
 LEFT JOIN (SELECT project, map(list(category ORDER BY category), list(n ORDER BY category)) AS by_category
   FROM (SELECT project, category, count(*) AS n FROM shown GROUP BY ALL) GROUP BY 1) USING (project)""",
         "pack_findings": f"""
-SELECT h.project, h.path, h.line_no, r.rule_id, {clip('match', 100)} AS match_text
+SELECT h.project, h.path, h.line_no, r.rule_id, match AS match_text
 FROM every_hit h JOIN every_rule r USING (rule_ord) JOIN frameworks f ON f.project = h.project AND f.name = r.pack
 JOIN vis v ON v.path = h.path AND v.line_no = h.line_no
 WHERE v.visible IS NOT NULL AND NOT (r.category = {q(X.PREPARE_CATEGORY)} AND contains(h.text, {q(X.PREPARE_CALL)}))""",
         "fingerprint": f"SELECT path, line_no, rule_id, {_FP} AS fingerprint FROM judged",
-        "baseline_new": f"""SELECT * FROM (SELECT path, line_no, rule_id, {_FP} AS fingerprint FROM judged)
-            WHERE fingerprint NOT IN (SELECT fingerprint FROM {_OLD})""",
-        "baseline_fixed": f"""SELECT DISTINCT fingerprint FROM {_OLD}
-            WHERE fingerprint NOT IN (SELECT {_FP} FROM judged)""",
-        "baseline_saved": f"""SELECT path, string_agg(fp, ',' ORDER BY fp) AS fingerprints
-            FROM (SELECT path, {_FP} AS fp FROM judged) GROUP BY 1""",
+        "baseline_new": f"""SELECT * FROM (SELECT project, path, line_no, rule_id, {_FP} AS fingerprint FROM judged)
+            WHERE (project, fingerprint) NOT IN (SELECT (project, fingerprint) FROM {_OLD})""",
+        "baseline_fixed": f"""SELECT DISTINCT project, fingerprint FROM {_OLD}
+            WHERE (project, fingerprint) NOT IN (SELECT (project, {_FP}) FROM judged)""",
+        "baseline_saved": f"""SELECT project, path, string_agg(fp, ',' ORDER BY fp) AS fingerprints
+            FROM (SELECT project, path, {_FP} AS fp FROM judged) GROUP BY ALL""",
         "incremental_changed": _CHANGED,
+        "incremental_scan": "SELECT project, path, line_no, category, rule_id, severity, confidence FROM shown",
         "incremental_reused": f"""SELECT project, path, line_no, rule_id FROM judged
             WHERE path NOT IN (SELECT path FROM ({_CHANGED}))""",
         "rules_hash": f"""SELECT project, sha256(string_agg(rule_id || ':' || pattern || ':' || {_SEV} || chr(10), ''
@@ -650,11 +654,11 @@ WHERE v.visible IS NOT NULL AND NOT (r.category = {q(X.PREPARE_CATEGORY)} AND co
         "framework_detect": "SELECT * FROM frameworks",
         "rule_packs": "SELECT project, rule_id FROM applied",
         "config_nearest": """SELECT project, dir, config_dir, CASE WHEN depth = 1 THEN ''
-            WHEN n % 4 = 0 THEN ' High ' ELSE 'bogus' END AS min_severity FROM nearest""",
+            WHEN n % 4 = 0 THEN ' High ' ELSE 'bogus' END AS min_severity FROM nearest WHERE depth IS NOT NULL""",
         "config_merge": """SELECT project, dir, CASE WHEN depth = 0 AND n % 4 = 0 THEN 3 ELSE 1 END AS min_severity,
             CASE WHEN depth = 0 THEN 'a/*,b' ELSE '' END AS exclude_patterns,
             CASE WHEN depth = 1 THEN 'X-1' ELSE '' END AS disabled_rules,
-            CASE WHEN depth = 1 THEN 'out' ELSE './report' END AS output_dir, depth = 0 AS no_html,
+            CASE WHEN depth = 1 THEN 'out' ELSE './report' END AS output_dir, coalesce(depth = 0, false) AS no_html,
             true AS json_output, false AS sarif_output, false AS show_suppressed,
             CASE WHEN depth = 0 AND n % 3 = 2 THEN 1 ELSE 0 END AS concurrency,
             CASE WHEN depth = 1 AND n % 5 > 0 THEN n % 5 ELSE 3 END AS context_lines FROM nearest""",

@@ -11,6 +11,7 @@ from riskloom.operators import (
     baseline as B, comments, detectors, findings as O, incremental as I, lines as L, match as M,
     report as R, sanitize, summary as S, taint,
 )
+from riskloom.plans.incremental import incremental_scan as scan_changes
 from riskloom.plans.scan import raw_findings, scan
 from riskloom.rules import custom, exemptions as X
 from riskloom.rules.convert import convert_rules
@@ -106,7 +107,7 @@ def comment_skip(spark, sf):
         "path", F.posexplode_outer(F.arrays_zip("lines", "in_comment")).alias("pos", "x")
     ).where("pos IS NOT NULL")
     df = df.select(
-        "path", (F.col("pos") + 1).alias("line_no"), L.scan_text(F.col("x.lines")).alias("text"),
+        "path", (F.col("pos") + 1).alias("line_no"), F.col("x.lines").alias("text"),
         F.col("x.in_comment").alias("in_comment"),
     )
     shown = comments.with_visible_part(df)
@@ -117,7 +118,7 @@ def comment_skip(spark, sf):
 
 
 def suppression_mark(spark, sf):
-    rows = L.explode_lines(lined(spark, sf)).withColumn("text", L.scan_text(F.col("text")))
+    rows = L.explode_lines(lined(spark, sf))
     rows = rows.withColumn("comment", M.suppression_comment(F.col("text")))
     return rows.where(F.col("comment").isNotNull()).select("path", "line_no", "comment")
 
@@ -145,7 +146,7 @@ def rule_match(spark, sf):
 
 
 def rule_match_pos(spark, sf):
-    df = hits(spark, sf, source=code).where(F.col("pos") > 0)
+    df = hits(spark, sf).where(F.col("pos") > 0)
     return df.select("path", "line_no", "rule_id", "pos")
 
 
@@ -375,32 +376,35 @@ def _baseline(findings):
 
 def baseline_new(spark, sf):
     found = judged_hits(spark, sf)
-    return B.new_findings(found, _baseline(found)).select("path", "line_no", "rule_id", "fingerprint")
+    return B.new_findings(found, _baseline(found)).select("project", "path", "line_no", "rule_id", "fingerprint")
 
 
 def baseline_fixed(spark, sf):
     found = judged_hits(spark, sf)
-    return B.fixed_fingerprints(found, _baseline(found)).select("fingerprint")
+    return B.fixed_fingerprints(found, _baseline(found)).select("project", "fingerprint")
 
 
 def baseline_saved(spark, sf):
     found = judged_hits(spark, sf)
     per_file = B.baseline_by_file(B.as_baseline(found))
     return per_file.select(
-        "path", F.array_join("fingerprints", ",").alias("fingerprints")
+        "project", "path", F.array_join("fingerprints", ",").alias("fingerprints")
     )
 
 
-def _cache(spark, sf):
-    """Cache of an earlier state: some files missing, some with other content."""
+def _older(spark, sf):
+    """An earlier state: some files missing, some with other content."""
     number = F.coalesce(
         F.expr(r"try_cast(regexp_extract(path, r'(\d+)[.][a-zA-Z]+$', 1) AS BIGINT)"), F.lit(0)
     )
-    old = files(spark, sf).where(number % 5 != 0).withColumn(
+    return files(spark, sf).where(number % 5 != 0).withColumn(
         "content",
         F.when(number % 7 == 0, F.concat("content", F.lit("\n// older"))).otherwise(F.col("content")),
     )
-    return I.file_hashes(old, RULES_TAG)
+
+
+def _cache(spark, sf):
+    return I.file_hashes(_older(spark, sf), RULES_TAG)
 
 
 def incremental_changed(spark, sf):
@@ -414,10 +418,18 @@ def incremental_reused(spark, sf):
     return I.kept_findings(found, files(spark, sf), _cache(spark, sf), RULES_TAG)
 
 
+def incremental_scan(spark, sf):
+    """Earlier findings of unchanged files and a scan of the others: equal to a full scan."""
+    cache = _cache(spark, sf)
+    earlier = scan(_older(spark, sf), PLAIN)
+    found = scan_changes(files(spark, sf), cache, earlier, RULES_TAG, PLAIN)
+    return found.select("project", "path", "line_no", "category", "rule_id", "severity", "confidence")
+
+
 def rules_hash(spark, sf):
     rules = rule_table(spark, select_rules(all_rules(), DEFAULTS))
     applied = manifests.rules_for_projects(
-        rules, C.code_files(spark, sf), frameworks(spark, sf)
+        rules, C.all_files(spark, sf), frameworks(spark, sf)
     )
     return I.rules_fingerprint(applied, "project")
 
@@ -436,19 +448,19 @@ def framework_detect(spark, sf):
 def rule_packs(spark, sf):
     rules = rule_table(spark, select_rules(all_rules(), DEFAULTS))
     return manifests.rules_for_projects(
-        rules, C.code_files(spark, sf), frameworks(spark, sf)
+        rules, C.all_files(spark, sf), frameworks(spark, sf)
     ).select("project", "rule_id")
 
 
 def _targets(spark, sf):
-    return C.code_files(spark, sf).select(
+    return C.all_files(spark, sf).select(
         "project", F.regexp_replace("path", "/[^/]*$", "").alias("dir")
     ).distinct()
 
 
 def config_nearest(spark, sf):
     found = conf.nearest_config(_targets(spark, sf), conf.config_files(C.config_files(spark, sf)))
-    return found.select("project", "dir", "config_dir", F.col("config.min_severity").alias("min_severity"))
+    return found.where("config_dir IS NOT NULL").select("project", "dir", "config_dir", F.col("config.min_severity").alias("min_severity"))
 
 
 def config_merge(spark, sf):
@@ -518,7 +530,7 @@ QUERIES = {
         (None, quality_gate), (None, report_order), (None, report_json), (None, report_summary),
         (None, report_sarif), (None, pack_findings),
         (None, fingerprint), (None, baseline_new), (None, baseline_fixed), (None, baseline_saved),
-        (None, incremental_changed), (None, incremental_reused), (None, rules_hash),
+        (None, incremental_changed), (None, incremental_reused), (None, incremental_scan), (None, rules_hash),
         (None, framework_detect), (None, rule_packs), (None, config_nearest), (None, config_merge),
         (None, custom_rules), ("convert_rules", convert_ext_rules),
         (None, exclude_filter), (None, ext_filter), (None, dir_prune),

@@ -7,16 +7,43 @@ Spark evaluates Java regular expressions.  Four things differ for our patterns:
 
 from __future__ import annotations
 
+import re
+
 _SPACE = r"\t\n\f\r "
 _WORD = "0-9A-Za-z_"
 _BOUNDARY = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 
 
+_NAMED = re.compile(r"\(\?P?<[A-Za-z_]\w*>")
+# POSIX names and their Java classes.
+_POSIX_CLASSES = {
+    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}",
+    "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}", "lower": r"\p{Lower}",
+    "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\p{Space}", "upper": r"\p{Upper}",
+    "word": r"\p{Alnum}_", "xdigit": r"\p{XDigit}",
+}
+_POSIX = re.compile(r"\[:(\^?)(" + "|".join(_POSIX_CLASSES) + r"):\]")
+
+
 def to_java(pattern: str) -> str:
     """Java equivalent of an RE2 pattern."""
     out, i, in_class = ["(?d)"], 0, False
     while i < len(pattern):
         ch = pattern[i]
+        if pattern.startswith("\\Q", i) and not in_class:
+            end = pattern.find("\\E", i + 2)
+            end = len(pattern) if end < 0 else end + 2
+            out.append(pattern[i:end])
+            i = end
+            continue
+        if not in_class and (named := _NAMED.match(pattern, i)):
+            out.append("(")  # names are not used, numbers stay
+            i = named.end()
+            continue
+        if in_class and (posix := _POSIX.match(pattern, i)):
+            out.append(_POSIX_CLASSES[posix[2]].replace("\\p", "\\P" if posix[1] else "\\p"))
+            i = posix.end()
+            continue
         if ch == "\\" and i + 1 < len(pattern):
             nxt = pattern[i + 1]
             if nxt == "s":

@@ -16,8 +16,7 @@ SARIF_LEVELS = ["note", "note", "warning", "error", "error"]
 SEVERITY_BY_NAME = {name.lower(): rank for rank, name in enumerate(SEVERITY_LABELS)}
 
 # Limits, in characters unless said otherwise.
-SCAN_LINE_CHARS = 4096
-REJECT_LINE_BYTES = 1024 * 1024
+LONG_LINE_BYTES = 1024 * 1024  # a flag only, like the next
 LARGE_FILE_BYTES = 10 * 1024 * 1024
 SHOWN_LINE_CHARS = 200
 SHOWN_MATCH_CHARS = 100
@@ -93,6 +92,10 @@ class ScanSettings:
     # Also treat ``$row = $stmt->fetch()`` as a database fetch.
     extended_fetch: bool = False
 
+    def __post_init__(self):
+        if self.context_lines == 0:  # not given, like in a configuration file
+            object.__setattr__(self, "context_lines", 3)
+
     def but(self, **changes) -> "ScanSettings":
         return replace(self, **changes)
 

@@ -1,12 +1,18 @@
-"""Fingerprints and comparison with an earlier scan."""
+"""Fingerprints and comparison with an earlier scan.
+
+Paths are relative to their project, so a finding is known by project and fingerprint.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+KEY = ["project", "fingerprint"]
+
+
 def fingerprint(with_line: bool = True) -> Column:
-    """16 hex digits of a hash over rule, path, line and shown match.
+    """16 hex digits of a hash over rule, path, line and whole match.
 
     Without the line the fingerprint survives code moving up or down.
     """
@@ -23,19 +29,21 @@ def with_fingerprint(findings: DataFrame, with_line: bool = True) -> DataFrame:
 
 
 def as_baseline(findings: DataFrame) -> DataFrame:
-    """What is stored for later comparison: ``(path, fingerprint)``."""
-    return with_fingerprint(findings).select("path", "fingerprint")
+    """What is stored for later comparison: ``(project, path, fingerprint)``."""
+    return with_fingerprint(findings).select("project", "path", "fingerprint")
 
 
 def new_findings(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    known = baseline.select("fingerprint").distinct()
-    return with_fingerprint(findings).join(known, "fingerprint", "left_anti")
+    known = baseline.select(*KEY).distinct()
+    return with_fingerprint(findings).join(known, KEY, "left_anti").select(
+        *findings.columns, "fingerprint"
+    )
 
 
 def fixed_fingerprints(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Baseline fingerprints that no current finding has."""
-    current = with_fingerprint(findings).select("fingerprint")
-    return baseline.select("fingerprint").distinct().join(current, "fingerprint", "left_anti")
+    """``(project, fingerprint)`` of the baseline that no current finding has."""
+    current = with_fingerprint(findings).select(*KEY)
+    return baseline.select(*KEY).distinct().join(current, KEY, "left_anti")
 
 
 def save_baseline(findings: DataFrame, location: str) -> None:
@@ -44,6 +52,6 @@ def save_baseline(findings: DataFrame, location: str) -> None:
 
 def baseline_by_file(baseline: DataFrame) -> DataFrame:
     """Fingerprints per file as one list, the JSON form of a baseline."""
-    return baseline.groupBy("path").agg(
+    return baseline.groupBy("project", "path").agg(
         F.sort_array(F.collect_list("fingerprint")).alias("fingerprints")
     )

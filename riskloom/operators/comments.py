@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.text import trimmed
-from riskloom.operators.lines import scan_text
 
 # A region starts at an opening (or flipping) line and ends with the line that
 # closes (or flips) it; the rest are lines outside.
@@ -41,7 +40,7 @@ def line_effect(text: Column) -> Column:
 
 def with_comment_state(df: DataFrame) -> DataFrame:
     """Adds ``in_comment``: per line "1" if a block comment is open before it."""
-    effects = F.array_join(F.transform(F.transform("lines", scan_text), line_effect), "")
+    effects = F.array_join(F.transform("lines", line_effect), "")
     regions = F.regexp_extract_all(effects, F.lit(_REGIONS), F.lit(0))
 
     def states(region: Column) -> Column:

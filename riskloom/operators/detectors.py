@@ -106,13 +106,13 @@ def check_then_use() -> Column:
 
 
 def unprotected_forms() -> Column:
-    """POST forms without a token word before the form ends (30 lines at most)."""
+    """POST forms without a token word before the form ends, or the next one begins."""
 
     def first(lines: Column, pattern: str) -> Column:
         return F.array_position(F.transform(lines, lambda t: matches(t, pattern)), F.lit(True))
 
     def examined(x: Column) -> Column:
-        following = F.slice("lines", x["line_no"] + 1, F.lit(M.FORM_REACH))
+        following = F.slice("lines", x["line_no"] + 1, x["reach"])
         return F.struct(
             x["line_no"].alias("line_no"),
             first(following, M.TOKEN_WORD).alias("token"),
@@ -123,7 +123,17 @@ def unprotected_forms() -> Column:
     def reached(at: Column, end: Column) -> Column:
         return (at > 0) & ((end == 0) | (at <= end))
 
-    forms = F.filter(_numbered_lines("<form"), lambda x: matches(x["text"], M.POST_FORM))
+    # Each form looks as far as the line before the next one: every line is looked at once.
+    begun = _numbered_lines("<form")
+    ended = F.zip_with(
+        begun,
+        F.concat(F.slice(F.transform(begun, lambda x: x["line_no"]), 2, F.greatest(F.size(begun), F.lit(1))), F.array(F.size("lines") + 1)),
+        lambda x, next_form: F.struct(
+            x["line_no"].alias("line_no"), x["text"].alias("text"),
+            F.greatest(next_form - x["line_no"] - 1, F.lit(0)).alias("reach"),
+        ),
+    )
+    forms = F.filter(ended, lambda x: x["line_no"].isNotNull() & matches(x["text"], M.POST_FORM))
     open_forms = F.filter(
         F.transform(forms, examined), lambda f: ~reached(f["token"], f["end"])
     )

@@ -14,7 +14,6 @@ from riskloom.model import (
     FLOW_TYPE,
     Rule,
     SHOWN_LINE_CHARS,
-    SHOWN_MATCH_CHARS,
     ScanSettings,
     finding_row,
 )
@@ -259,9 +258,7 @@ def judged(candidates: DataFrame, book: RuleBook, settings: ScanSettings) -> Dat
             line_text=F.when(is_rule, clipped(F.col("visible"), SHOWN_LINE_CHARS)).otherwise(
                 trimmed(F.col("text"))
             ),
-            match_text=F.when(is_rule, clipped(F.col("match"), SHOWN_MATCH_CHARS)).otherwise(
-                F.col("match")
-            ),
+            match_text=F.col("match"),
             suppressed=F.coalesce(
                 match.suppresses_rule(F.col("comment"), F.col("rule_id")), F.lit(False)
             ),

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.model import REJECT_LINE_BYTES, SCAN_LINE_CHARS
+from riskloom.model import LONG_LINE_BYTES
 
 
 def has_oversized_line(content: Column) -> Column:
-    """True for files that cannot be read line by line."""
+    """True for files with a very long line; they are scanned like all others."""
     raw = F.split(content, "\n", -1)
     return F.when(
-        F.octet_length(content) >= REJECT_LINE_BYTES,
-        F.exists(raw, lambda t: F.octet_length(t) >= REJECT_LINE_BYTES),
+        F.octet_length(content) >= LONG_LINE_BYTES,
+        F.exists(raw, lambda t: F.octet_length(t) >= LONG_LINE_BYTES),
     ).otherwise(F.lit(False))
 
 
@@ -31,17 +31,13 @@ def line_array(content: Column) -> Column:
 
 
 def with_lines(files: DataFrame) -> DataFrame:
-    """``files(project, path, content)`` → ``(project, path, lines)``.
-
-    Files with an oversized line are left out; see :func:`rejected_files`.
-    """
-    readable = files.where(F.col("content").isNotNull()).where(
-        ~has_oversized_line(F.col("content"))
-    )
+    """``files(project, path, content)`` → ``(project, path, lines)``."""
+    readable = files.where(F.col("content").isNotNull())
     return readable.select("project", "path", line_array(F.col("content")).alias("lines"))
 
 
 def rejected_files(files: DataFrame) -> DataFrame:
+    """Files with a very long line, as a note to the user; none is left out of a scan."""
     return files.where(has_oversized_line(F.col("content"))).select(
         "project", "path", F.octet_length("content").cast("bigint").alias("size_bytes")
     )
@@ -56,8 +52,3 @@ def explode_lines(with_lines_df: DataFrame) -> DataFrame:
         .where(F.col("pos").isNotNull())
         .select("project", "path", (F.col("pos") + 1).alias("line_no"), "text")
     )
-
-
-def scan_text(text: Column) -> Column:
-    """The part of a line that line rules look at."""
-    return F.substring(text, 1, SCAN_LINE_CHARS)

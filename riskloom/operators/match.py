@@ -11,7 +11,6 @@ from riskloom.model import (
     CONF_HIGH, CONF_LOW, CONF_MEDIUM, HIGH, Rule,
 )
 from riskloom.operators.comments import surely_skipped
-from riskloom.operators.lines import scan_text
 from riskloom.rules import exemptions as X
 from riskloom.rules.sanitizers import SANITIZERS
 
@@ -61,8 +60,8 @@ def with_hits(df: DataFrame, rules: list[Rule], masked: bool = True) -> DataFram
         lambda t, i: F.struct(
             (i + 1).alias("line_no"),
             state(i).alias("in_comment"),
-            scan_text(t).alias("text"),
-            F.lower(scan_text(t)).alias("low"),
+            t.alias("text"),
+            F.lower(t).alias("low"),
         ),
     )
     if masked:

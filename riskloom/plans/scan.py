@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.functions.sizes import broadcast_if_small
 from riskloom.model import ScanSettings
 from riskloom.operators import findings as O
 from riskloom.operators.lines import with_lines
@@ -36,9 +35,7 @@ def raw_findings(
 
 def keep_own_packs(findings: DataFrame, frameworks: DataFrame) -> DataFrame:
     """Keeps pack findings only for projects that use the framework."""
-    own = broadcast_if_small(
-        frameworks.select("project", F.col("name").alias("_framework"))
-    )
+    own = frameworks.select("project", F.col("name").alias("_framework"))
     return (
         findings.join(own, "project", "left")
         .where(F.col("pack").isNull() | (F.col("pack") == F.col("_framework")))

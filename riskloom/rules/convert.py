@@ -10,7 +10,6 @@ from riskloom.functions.text import base_name
 # Fixed values.
 # ---------------------------------------------------------------------------
 LANGUAGE = "php"
-MAX_ELLIPSES = 2
 ESCAPED = "()[]{}+.|^?*"
 METAVARIABLE = r"\$[A-Z][A-Z0-9_]*"
 METAVARIABLE_PATTERN = r"[^\s;]+"
@@ -29,16 +28,13 @@ RECOMMENDATION = "Review finding and apply recommended fix"
 def line_pattern(pattern: Column) -> Column:
     """Line pattern for a structural one; ``''`` if there is none."""
     bare = F.trim(pattern)
-    ellipses = F.size(F.split(bare, r"\.\.\.", -1)) - 1
     # Metavariables never contain a quoted character and an ellipsis is three of
     # them, so one pass quotes and the later ones see unambiguous text.
     quoted = F.regexp_replace(bare, r"([()\[\]{}+.|^?*])", r"\\$1")
     named = F.regexp_replace(quoted, METAVARIABLE, r"[^\\s;]+")
     open_ended = F.replace(named, F.lit(r"\.\.\."), F.lit(ELLIPSIS_PATTERN))
     spaced = F.regexp_replace(open_ended, r"[\t\n\f\r ]+", r"\\s+")
-    return F.when(
-        (pattern != "") & (ellipses <= MAX_ELLIPSES), F.concat(F.lit("(?i)"), spaced)
-    ).otherwise(F.lit(""))
+    return F.when(pattern != "", F.concat(F.lit("(?i)"), spaced)).otherwise(F.lit(""))
 
 
 def severity_name(text: Column) -> Column:

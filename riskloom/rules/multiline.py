@@ -25,7 +25,6 @@ STATE_CHANGE = (
     r"(?i)(INSERT|UPDATE|DELETE|mysqli_query|->query|->exec|->execute|->save|"
     r"->update|->delete|->create|->destroy|->store)"
 )
-FORM_REACH = 30
 
 # Logout.
 SESSION_UNSET = r"(?i)unset\s*\(\s*\$_SESSION\s*\["

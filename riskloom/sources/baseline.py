@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskloom.operators.baseline import as_baseline
 
-BASELINE_SCHEMA = "scan_date STRING, findings MAP<STRING, ARRAY<STRING>>"
+BASELINE_SCHEMA = "project STRING, scan_date STRING, findings MAP<STRING, ARRAY<STRING>>"
 CACHE_SCHEMA = (
     "version STRING, rules_hash STRING, timestamp STRING, file_hashes MAP<STRING, STRING>, "
     "findings MAP<STRING, ARRAY<STRUCT<rule_id: STRING, line_number: INT, line_text: STRING, "
@@ -14,11 +14,20 @@ CACHE_SCHEMA = (
 )
 
 
-def read_baseline(spark: SparkSession, location: str, multi_line: bool = True) -> DataFrame:
-    """JSON baseline (file → fingerprints) as ``(path, fingerprint)``."""
+def read_baseline(
+    spark: SparkSession, location: str, project: str, multi_line: bool = True
+) -> DataFrame:
+    """JSON baseline (file → fingerprints) as ``(project, path, fingerprint)``.
+
+    A document that names its project keeps it; others get ``project``.  The one-document
+    form is one value of JSON and so one task; :func:`write_baseline` writes lines.
+    """
     docs = spark.read.schema(BASELINE_SCHEMA).option("multiLine", multi_line).json(location)
-    files = docs.select(F.explode("findings").alias("path", "fingerprints"))
-    return files.select("path", F.explode("fingerprints").alias("fingerprint"))
+    files = docs.select(
+        F.coalesce("project", F.lit(project)).alias("project"),
+        F.explode("findings").alias("path", "fingerprints"),
+    )
+    return files.select("project", "path", F.explode("fingerprints").alias("fingerprint"))
 
 
 def write_baseline(findings: DataFrame, location: str) -> None:
@@ -28,7 +37,7 @@ def write_baseline(findings: DataFrame, location: str) -> None:
     """
     as_baseline(findings).select(
         F.to_json(
-            F.struct(F.create_map("path", F.array("fingerprint")).alias("findings"))
+            F.struct("project", F.create_map("path", F.array("fingerprint")).alias("findings"))
         ).alias("value")
     ).write.mode("overwrite").text(location)
 

@@ -8,6 +8,8 @@ from riskloom.functions.text import base_name, extension, glob_to_regex
 from riskloom.model import LARGE_FILE_BYTES
 from riskloom.rules.exemptions import SCANNED_EXTENSIONS, SKIPPED_DIRS
 
+PROJECT_FILES = ("composer.json", "wp-config.php", ".scan-config.json")
+
 
 def in_skipped_dir(path: Column) -> Column:
     names = "|".join(name.replace(".", "\\.") for name in SKIPPED_DIRS)
@@ -45,12 +47,20 @@ def is_large(size_bytes: Column) -> Column:
 def read_tree(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
     """Files below a directory as ``(project, path, content)``; paths relative to it.
 
-    Directory and extension filters act on file names, before any content is
-    read.  A single file is accepted if its extension is scanned.
+    The reader's own name filter drops other extensions while it lists files.
+    Contents of skipped directories are not kept: only their paths are looked at
+    before the content becomes text.  A single file is accepted if its extension is scanned.
     """
-    # The reader's own name filter works on listed files, like the path filters.
     letters = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
-    name_filter = "{" + ",".join("*" + letters(e) for e in SCANNED_EXTENSIONS) + "}"
+    return _read(spark, root, project, "{" + ",".join("*" + letters(e) for e in SCANNED_EXTENSIONS) + "}")
+
+
+def read_project_files(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
+    """Manifests, marker and configuration files below a directory, for frameworks and settings."""
+    return _read(spark, root, project, "{" + ",".join(PROJECT_FILES) + "}")
+
+
+def _read(spark: SparkSession, root: str, project: str | None, name_filter: str) -> DataFrame:
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

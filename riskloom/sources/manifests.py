@@ -10,11 +10,10 @@ from riskloom.rules.packs import FRAMEWORK_PACKAGES
 def detect_frameworks(files: DataFrame) -> DataFrame:
     """``(project, name, version)`` for projects with a known framework.
 
-    ``files`` paths start with the project name; only files at the project root
-    count, except that any file below ``wp-content`` marks WordPress.
+    Paths are relative to the project.  Only files at its root count, except
+    that any file below ``wp-content`` marks WordPress.
     """
-    local = F.expr("substring(path, length(project) + 2)")
-    marked = files.where(F.startswith("path", F.concat(F.col("project"), F.lit("/"))))
+    local = F.col("path")
     is_wp = (local == "wp-config.php") | F.startswith(local, F.lit("wp-content/"))
     is_manifest = local == "composer.json"
     require = F.from_json("content", "require MAP<STRING, STRING>")["require"]
@@ -41,7 +40,7 @@ def detect_frameworks(files: DataFrame) -> DataFrame:
     )
     names = F.array(*[F.lit(name) for name, _ in FRAMEWORK_PACKAGES])
     per_project = (
-        marked.where(is_wp | is_manifest)
+        files.where(is_wp | is_manifest)
         .groupBy("project")
         .agg(
             F.bool_or(is_wp).alias("wp"),

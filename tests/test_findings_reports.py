@@ -86,7 +86,7 @@ def test_baseline_round_trip(spark, make_files, tmp_path):
     found = scan(make_files(CODE))
     moved = scan(make_files("\n" + CODE))
     write_baseline(found, str(tmp_path / "b"))
-    stored = read_baseline(spark, str(tmp_path / "b"), multi_line=False)
+    stored = read_baseline(spark, str(tmp_path / "b"), "p", multi_line=False)
     assert stored.count() == found.count()
     assert B.new_findings(found, stored).count() == 0
     assert B.fixed_fingerprints(found, stored).count() == 0
@@ -95,7 +95,7 @@ def test_baseline_round_trip(spark, make_files, tmp_path):
     assert new == B.fixed_fingerprints(moved, stored).count() == found.where("line_no > 1").count()
     doc = {"scan_date": "2024-01-01", "findings": {"a": ["x", "y"], "b": ["x"]}}
     (tmp_path / "old.json").write_text(json.dumps(doc, indent=2))
-    old = read_baseline(spark, str(tmp_path / "old.json"))
+    old = read_baseline(spark, str(tmp_path / "old.json"), "p")
     assert sorted(map(tuple, old.collect())) == [("a", "x"), ("a", "y"), ("b", "x")]
     assert B.fixed_fingerprints(found, old).count() == 2
 

@@ -20,10 +20,10 @@ def test_line_ends(spark):
         assert _lines(spark, content)[0].lines == expected, repr(content)
 
 
-def test_oversized_line_rejects_the_file(spark, make_files):
+def test_oversized_line_is_noted_and_scanned(spark, make_files):
     limit = 1024 * 1024
     files = make_files("ok\n" + "x" * (limit - 1), "no\n" + "x" * limit)
-    assert [r.path for r in L.with_lines(files).collect()] == ["p/f0.php"]
+    assert [r.path for r in L.with_lines(files).collect()] == ["p/f0.php", "p/f1.php"]
     assert [r.path for r in L.rejected_files(files).collect()] == ["p/f1.php"]
 
 

@@ -103,10 +103,10 @@ def test_dropped_when_sanitized_and_context(spark, make_files):
     assert row.context_after[0].text == "x" * 200 + "..."
 
 
-def test_only_the_first_4096_characters_are_matched(spark, make_files):
-    lines = ["a" * 4080 + " phpinfo();", "a" * 4090 + " phpinfo();"]
+def test_whole_lines_are_matched(spark, make_files):
+    lines = ["a" * 4090 + " phpinfo();", "b" * (1 << 20) + " phpinfo();", "$x = $_GET['" + "k" * 300 + "'];"]
     got = _judge(make_files("\n".join(lines)), _rules("INFO-001"))
-    assert [r.line_no for r in got] == [1]
+    assert [r.line_no for r in got] == [1, 2]
 
 
 def test_word_that_cancels_a_rule(spark, make_files):

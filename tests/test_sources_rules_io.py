@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 from riskloom.model import ScanSettings
 from riskloom.plans.scan import raw_findings, scan
 from riskloom.rules import convert, custom
-from riskloom.sources import corpus, manifests, settings as conf
+from riskloom.functions.dialect import to_java
+from riskloom.operators import baseline as B
+from riskloom.plans.incremental import incremental_scan, write_cache
+from riskloom.sources import corpus, manifests, settings, settings as conf
+from riskloom.streaming.watch import current_findings, watch
 
 
 def test_read_tree_and_selection(spark, tmp_path):
@@ -36,10 +40,10 @@ def test_exclude_patterns(spark):
 
 def test_frameworks_and_packs(spark):
     rows = [
-        ("l", "l/composer.json", '{"require":{"yiisoft/yii2":"2","laravel/framework":"^9"}}'),
-        ("w", "w/wp-content/x.php", ""), ("w", "w/composer.json", '{"require":{"laravel/framework":"1"}}'),
-        ("n", "n/sub/composer.json", '{"require":{"laravel/framework":"1"}}'),
-        ("b", "b/composer.json", "{oops"),
+        ("l", "composer.json", '{"require":{"yiisoft/yii2":"2","laravel/framework":"^9"}}'),
+        ("w", "wp-content/x.php", ""), ("w", "composer.json", '{"require":{"laravel/framework":"1"}}'),
+        ("n", "sub/composer.json", '{"require":{"laravel/framework":"1"}}'),
+        ("b", "composer.json", "{oops"),
     ]
     files = spark.createDataFrame(rows, "project STRING, path STRING, content STRING")
     found = manifests.detect_frameworks(files)
@@ -98,3 +102,60 @@ def test_convert_and_load_again(spark, tmp_path):
     loaded = spark.read.text(str(tmp_path / "rules")).select(
         F.lit("x.json").alias("path"), F.col("value").alias("content"))
     assert custom.parse_rule_files(loaded).count() == 2
+
+
+def test_custom_patterns_are_translated_or_rejected_with_a_reason(spark):
+    good = [r"foo\((?P<arg>[a-z]+)\)", r"[[:alpha:]]+\(", r"foo(?i)BAR", r"\pL+x", r"a\z", r"\Qa.b\E"]
+    bad = [r"a(?#note)", r"(?=x)", r"(a)\1", r"(?U)a+", "["]
+    rows = spark.createDataFrame(
+        [("f", 0, n, f"R{n}", "c", 1, "", p, "", "", ["t"], "s") for n, p in enumerate(good + bad)],
+        "path STRING, rule_no INT, pattern_no INT, rule_id STRING, category STRING, severity INT, cwe STRING, "
+        "pattern STRING, description STRING, recommendation STRING, tags ARRAY<STRING>, source STRING",
+    )
+    rules, rejected = custom.checked_rules(rows)
+    assert [r.pattern for r in rules] == good
+    assert {r.pattern for r in rejected.collect()} == set(bad) and rejected.where("reason = ''").count() == 0
+    text = spark.createDataFrame([("foo(bar) a.b",)], "t STRING")
+    hits = [text.where(F.rlike("t", F.lit(to_java(p)))).count() for p in good]
+    assert hits == [1, 1, 0, 0, 0, 1]
+
+
+def test_same_paths_in_two_projects_are_told_apart(spark):
+    files = spark.createDataFrame(
+        [(p, "index.php", "<?php\nsystem($_GET['a']);\n") for p in "ab"], "project STRING, path STRING, content STRING"
+    )
+    found = scan(files).cache()
+    stored = B.as_baseline(found.where("project = 'a'"))
+    new = B.new_findings(found, stored)
+    assert {r.project for r in new.collect()} == {"b"} and new.count() == stored.count() > 0
+    assert B.fixed_fingerprints(found.where("project = 'b'"), stored).count() == stored.count()
+
+
+def test_incremental_scan_equals_a_full_one(spark, tmp_path):
+    code = "<?php\nsystem($_GET['a']);\n"
+    make = lambda *rows: spark.createDataFrame(list(rows), "project STRING, path STRING, content STRING")
+    before = make(("p", "a.php", code), ("p", "b.php", code), ("p", "gone.php", code))
+    after = make(("p", "a.php", code), ("p", "b.php", code + "eval($_POST['x']);\n"), ("q", "a.php", code))
+    hashes, kept = str(tmp_path / "hashes"), str(tmp_path / "findings")
+    write_cache(before, scan(before), "r", hashes, kept)
+    got = incremental_scan(after, spark.read.parquet(hashes), spark.read.parquet(kept), "r")
+    key = lambda df: sorted(map(str, df.select("project", "path", "line_no", "rule_id", "category").collect()))
+    assert key(got) == key(scan(after))
+
+
+def test_watch_rescans_content_that_comes_back(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    for n, code in enumerate(["<?php system($_GET['a']);", "<?php echo 1;", "<?php system($_GET['a']);"]):
+        row = spark.createDataFrame([("p", "a.php", code)], "project STRING, path STRING, content STRING")
+        row.write.mode("append").parquet(at("landing"))
+        watch(spark, at("landing"), at("hashes"), at("findings"), at("state"), "r").awaitTermination()
+        now = current_findings(spark, at("hashes"), at("findings")).where("rule_id LIKE 'CMD%'").count()
+        assert (now > 0) == (n != 1)
+
+
+def test_directories_without_configuration_get_defaults(spark):
+    files = spark.createDataFrame([("p", "a/.scan-config.json", '{"context_lines": 5}')], "project STRING, path STRING, content STRING")
+    targets = spark.createDataFrame([("p", "a/b"), ("p", "c")], "project STRING, dir STRING")
+    merged = settings.merged_settings(settings.nearest_config(targets, settings.config_files(files)))
+    assert {r.dir: r.context_lines for r in merged.collect()} == {"a/b": 5, "c": 3}
+    assert ScanSettings(context_lines=0).context_lines == 3
