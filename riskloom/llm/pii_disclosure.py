@@ -8,8 +8,8 @@ once for each different neighbourhood, and needs `LEAST_SUPPORT` of them, so cop
 of one text are no evidence.
 
 All counts are aggregates with map-side sums.  The count of terms over all documents is limited to terms
-of supported pairs: by a broadcast while they are at most `BROADCAST_TERMS`, else by a shuffled
-join of pre-summed counts; both give the same rows.
+of supported pairs: each partition sums the terms of a broadcast set while they are at most
+`BROADCAST_TERMS`, else counts of all words are joined by a shuffle; both give the same rows.
 
 Defined cases: null text is empty; entities without words around them disclose nothing; repeated
 rows get equal results; an empty table gives no rows; further columns are passed over.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -159,15 +160,25 @@ def _found(rows: DataFrame) -> DataFrame:
 
 def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n: in how many documents each of `terms` is."""
-    words = documents.select(
-        F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), TERM_SPLIT))).alias("term")
-    )
-    count = terms.count()
-    if count == 0:
-        return terms.select("term", F.lit(0).cast("long").alias("n"))
-    if count <= BROADCAST_TERMS:
-        return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    return words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
+    if terms.count() > BROADCAST_TERMS:
+        words = documents.select(
+            F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), TERM_SPLIT))).alias("term")
+        )
+        return words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
+    wanted = documents.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = wanted.value, Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if text and known:
+                    counts.update(known.intersection(TERM.findall(text.lower())))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]
+        )
+
+    parts = documents.select("text").mapInArrow(run, "term string, n long")
+    return parts.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosing(documents: DataFrame, found: DataFrame) -> DataFrame:
