@@ -15,7 +15,8 @@ CONFIDENCE_LABELS = ["LOW", "MEDIUM", "HIGH"]
 SARIF_LEVELS = ["note", "note", "warning", "error", "error"]
 SEVERITY_BY_NAME = {name.lower(): rank for rank, name in enumerate(SEVERITY_LABELS)}
 
-# Limits, in characters unless said otherwise.
+# Flags and display widths only: nothing is dropped or matched by them.  Distances that define an
+# operator (lines looked back, lines to a use, context) stand with their operators.
 LONG_LINE_BYTES = 1024 * 1024  # a flag only, like the next
 LARGE_FILE_BYTES = 10 * 1024 * 1024
 SHOWN_LINE_CHARS = 200
