@@ -64,7 +64,7 @@ def test_nearest_config(spark):
     targets = spark.createDataFrame([("p", "p/a/b/c"), ("p", "p/ab"), ("q", "q")], "project STRING, dir STRING")
     near = conf.nearest_config(targets, conf.config_files(files))
     got = {r.dir: (r.min_severity, r.context_lines) for r in conf.merged_settings(near).collect()}
-    assert got == {"p/a/b/c": (1, 3), "p/ab": (3, 5)}
+    assert got == {"p/a/b/c": (1, 3), "p/ab": (3, 5), "q": (1, 3)}
     given = conf.merged_settings(near, {"context_lines": 9}).collect()
     assert {r.context_lines for r in given} == {9}
 
@@ -96,12 +96,13 @@ def test_convert_and_load_again(spark, tmp_path):
     out = convert.convert_rules(ext).orderBy("id").collect()
     assert [(r.id, r.severity, r.category, r.cwe, r.patterns[0]) for r in out] == [
         ("SEMGREP-001", "critical", "Semgrep Import", "CWE-Unknown", r"(?i)eval\([^\s;]+,\s+.*\)"),
+        ("b", "medium", "Semgrep Import", "CWE-Unknown", "(?i)a.*b.*c.*d"),
         ("d", "medium", "Cat", "CWE-9", r"(?i)$lower\[0\]\s+\+\s+[^\s;]+"),
     ]
     convert.save_rules(convert.convert_rules(ext), str(tmp_path / "rules"))
     loaded = spark.read.text(str(tmp_path / "rules")).select(
         F.lit("x.json").alias("path"), F.col("value").alias("content"))
-    assert custom.parse_rule_files(loaded).count() == 2
+    assert custom.parse_rule_files(loaded).count() == 3
 
 
 def test_custom_patterns_are_translated_or_rejected_with_a_reason(spark):
