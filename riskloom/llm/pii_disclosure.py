@@ -36,7 +36,6 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
-TERM_SPLIT = r"[^\p{L}]+"
 
 AROUND_CHARS, AROUND_WORDS = 120, 8
 DISCLOSES, LEAST_SUPPORT = 0.8, 3
@@ -159,33 +158,46 @@ def _found(rows: DataFrame) -> DataFrame:
 
 
 def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n: in how many documents each of `terms` is."""
-    if terms.count() > BROADCAST_TERMS:
-        words = documents.select(
-            F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), TERM_SPLIT))).alias("term")
-        )
-        return words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
-    wanted = documents.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()))
+    """term, n: in how many documents each of `terms` is.
+
+    Up to `BROADCAST_TERMS` terms go to the tasks, which count those alone; more are joined to
+    the counts of all words.  Both read words by TERM, so the counts do not depend on the form.
+    """
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    wanted = documents.sparkSession.sparkContext.broadcast(
+        frozenset(r["term"] for r in terms.collect()) if few else None
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = wanted.value, Counter()
+        known = wanted.value
+
+        def counted(counts: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]
+            )
+
+        counts = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                if text and known:
-                    counts.update(known.intersection(TERM.findall(text.lower())))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]
-        )
+                if text:
+                    words = TERM.findall(text.lower())
+                    counts.update(set(words) if known is None else known.intersection(words))
+            if known is None:
+                yield counted(counts)
+                counts = Counter()
+        if counts:
+            yield counted(counts)
 
     parts = documents.select("text").mapInArrow(run, "term string, n long")
-    return parts.groupBy("term").agg(F.sum("n").alias("n"))
+    sums = parts.groupBy("term").agg(F.sum("n").alias("n"))
+    return sums if few else sums.join(terms, "term", "left_semi")
 
 
 def disclosing(documents: DataFrame, found: DataFrame) -> DataFrame:
     """entity, term, share: the pairs in which the term gives the entity away."""
     around = found.filter(F.size("around") > 0).select("doc_id", "mark", F.inline("around"))
     pairs = (
-        around.groupBy("entity", "term", "context").agg(F.count_distinct("doc_id", "mark").alias("n"))
+        around.groupBy("entity", "term", "context").agg(F.count_distinct(F.struct("doc_id", "mark")).alias("n"))
         .groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_pair"))
         .filter(F.col("support") >= LEAST_SUPPORT)
     )

@@ -106,6 +106,18 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii_disclosure.protected(copies).filter("terms IS NOT NULL").count() == 0  # copies are no evidence
 
 
+def test_term_counts_do_not_depend_on_the_form(spark, monkeypatch):
+    texts = ["Zorkov zorkov x²y İstanbul", None, "", "zorkov naïve co-op", "don't_stop zorkov", "ab cde1fgh"] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    terms = ["zorkov", "naïve", "don", "stop", "cde", "fgh", "x²y", "nowhere"]
+    wanted = spark.createDataFrame([(t,) for t in terms], "term string")
+    few = Counter(map(tuple, pii_disclosure.term_counts(docs, wanted).collect()))
+    monkeypatch.setattr(pii_disclosure, "BROADCAST_TERMS", 2)
+    assert Counter(map(tuple, pii_disclosure.term_counts(docs, wanted).collect())) == few
+    plain = Counter(w for t in texts if t for w in set(pii_disclosure.TERM.findall(t.lower())) & set(terms))
+    assert few == Counter(plain.items()) and plain["zorkov"] == 9
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
