@@ -12,6 +12,7 @@ from checks.templates import TEMPLATES
 from riskloom.functions.text import WHITE_SPACE, glob_to_regex
 from riskloom.model import HIGH, SARIF_LEVELS, ScanSettings, SEVERITY_BY_NAME, SEVERITY_LABELS
 from riskloom.operators.detectors import DETECTOR_RULES
+from riskloom.operators.report import SARIF_SCHEMA, SARIF_VERSION, TOOL_NAME, TOOL_VERSION
 from riskloom.operators.taint import SINK_RULES
 from riskloom.rules import exemptions as X, flows as V, multiline as ML
 from riskloom.rules.packs import FRAMEWORK_PACKAGES
@@ -493,10 +494,10 @@ FROM final f LEFT JOIN {_steps_json()} t
 WHERE NOT suppressed"""
 
 
-def _sarif_body() -> str:
+def _sarif_body(more: str = "") -> str:
     level = _label("severity", SARIF_LEVELS)
     return f"""
-SELECT project, f.path, f.line_no, json_merge_patch('{{}}', to_json({{
+SELECT project, f.path, f.line_no, {more} json_merge_patch('{{}}', to_json({{
   ruleId: f.rule_id, level: {level},
   message: {{text: description || ' [' || cwe || '] ' || recommendation}},
   locations: [json_merge_patch('{{}}', to_json({{physicalLocation: {{
@@ -516,6 +517,44 @@ LEFT JOIN {_steps_json()} t
   ON f.is_taint AND t.path = f.path AND t.line_no = f.line_no AND t.rule_id = f.rule_id"""
 
 
+def _sarif_rules(more: str = "") -> str:
+    level = _label("severity", SARIF_LEVELS)
+    return f"""
+SELECT project, rule_id, {more} to_json({{
+  id: rule_id, name: rule_id, shortDescription: {{text: description}}, fullDescription: {{text: recommendation}},
+  help: {{text: description || chr(10) || chr(10) || 'CWE: ' || cwe || chr(10) || 'Recommendation: ' || recommendation}},
+  defaultConfiguration: {{level: {level}}}, properties: {{tags: [category, cwe, 'security', 'php']}}}})::VARCHAR AS rule
+FROM (SELECT *, row_number() OVER (PARTITION BY project, rule_id
+        ORDER BY severity DESC, confidence DESC, path, line_no, category) AS nth FROM final)
+WHERE nth = 1"""
+
+
+def _sarif_parts() -> str:
+    place = "o_severity, o_confidence, path, line_no, category, rule_id"
+
+    def items(section: int, column: str, body: str) -> str:
+        return f"""SELECT project, {section} AS section, {place},
+  CASE WHEN row_number() OVER (PARTITION BY project ORDER BY {place}) = 1 THEN '' ELSE ',' END || {column} AS text
+FROM ({body})"""
+
+    def fixed(section: int, text: str) -> str:
+        return (f"SELECT DISTINCT project, {section} AS section, 0 AS o_severity, 0 AS o_confidence, '' AS path, "
+                f"0 AS line_no, '' AS category, '' AS rule_id, {q(text)} AS text FROM final")
+
+    head = (
+        f'{{"$schema":"{SARIF_SCHEMA}","version":"{SARIF_VERSION}","runs":[{{"tool":{{"driver":{{'
+        f'"name":"{TOOL_NAME}","version":"{TOOL_VERSION}","rules":['
+    )
+    sort_keys = "-severity AS o_severity, -confidence AS o_confidence,"
+    return " UNION ALL ".join([
+        fixed(0, head),
+        items(1, "rule", _sarif_rules(f"{sort_keys} path, line_no, category,")),
+        fixed(2, ']}},"results":['),
+        items(3, "result", _sarif_body(f"{sort_keys} category, f.rule_id,")),
+        fixed(4, '],"invocations":[{"executionSuccessful":true}]}]}'),
+    ])
+
+
 def _convert_sql() -> str:
     escaped = "regexp_replace(trim(pattern), '([()\\[\\]{}+.|^?*])', '\\\\\\1', 'g')"
     metas = f"regexp_replace({escaped}, '\\$[A-Z][A-Z0-9_]*', '[^\\\\s;]+', 'g')"
@@ -619,6 +658,8 @@ def all_sql() -> dict[str, str]:
             ORDER BY severity DESC, confidence DESC, path, line_no, category, rule_id""",
         "report_json": _json_body(),
         "report_sarif": _sarif_body(),
+        "report_sarif_rules": _sarif_rules(),
+        "report_sarif_parts": _sarif_parts(),
         "report_summary": f"""
 SELECT project, to_json({{files_scanned: files_scanned, total_lines: total_lines,
   total_findings: coalesce(total, 0), suppressed: coalesce(suppressed, 0), rules_loaded: {len(RULES)},

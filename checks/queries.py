@@ -347,6 +347,14 @@ def report_sarif(spark, sf):
     return R.sarif_results(all_findings(spark, sf))
 
 
+def report_sarif_rules(spark, sf):
+    return R.sarif_rules(all_findings(spark, sf)).drop("first_at")
+
+
+def report_sarif_parts(spark, sf):
+    return R.sarif_parts(all_findings(spark, sf))
+
+
 def pack_findings(spark, sf):
     """Scan with framework packs: findings of pack rules, kept for their projects."""
     found = raw_findings(files(spark, sf), DEFAULTS, frameworks(spark, sf))
@@ -528,7 +536,8 @@ QUERIES = {
         (None, dedup_findings), (None, active_findings), (None, sev_counts), (None, cat_counts),
         (None, conf_counts), (None, scan_totals), (None, summary_pivot), (None, distinct_rules),
         (None, quality_gate), (None, report_order), (None, report_json), (None, report_summary),
-        (None, report_sarif), (None, pack_findings),
+        (None, report_sarif), (None, report_sarif_rules), (None, report_sarif_parts),
+        (None, pack_findings),
         (None, fingerprint), (None, baseline_new), (None, baseline_fixed), (None, baseline_saved),
         (None, incremental_changed), (None, incremental_reused), (None, incremental_scan), (None, rules_hash),
         (None, framework_detect), (None, rule_packs), (None, config_nearest), (None, config_merge),
