@@ -96,7 +96,7 @@ def test_baseline_round_trip(spark, make_files, tmp_path):
     doc = {"scan_date": "2024-01-01", "findings": {"a": ["x", "y"], "b": ["x"]}}
     (tmp_path / "old.json").write_text(json.dumps(doc, indent=2))
     old = read_baseline(spark, str(tmp_path / "old.json"), "p")
-    assert sorted(map(tuple, old.collect())) == [("a", "x"), ("a", "y"), ("b", "x")]
+    assert sorted(map(tuple, old.collect())) == [("p", "a", "x"), ("p", "a", "y"), ("p", "b", "x")]
     assert B.fixed_fingerprints(found, old).count() == 2
 
 
