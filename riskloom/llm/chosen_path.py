@@ -349,9 +349,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, mark (a hash of id and text), class_id (least id of the class), n_links (different
-    texts that are similar) per document."""
+def classified(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """The rows of `near_duplicates` and label: the class itself, by one of its nodes; null without words.
+
+    Ids do not tell classes apart: they can be null or come with different texts.
+    """
     all_rows = stored(sets_of(documents, similarity, recall))
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
     nodes = stored(
@@ -408,15 +410,25 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, recall
     least = labels.join(nodes.select("node", "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("class_id"))
     classes = (
         nodes.select("node", "doc_id").join(labels, "node", "left").join(least, "label", "left").join(links, "node", "left")
-        .select("node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select(
+            "node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+            F.coalesce("label", "node").alias("label"),
+        )
     )
     return all_rows.select("doc_id", "mark", "node", "n_tokens").join(classes, "node", "left").select(
         "doc_id", "mark",
         F.when(F.col("n_tokens") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.when(F.col("n_tokens") > 0, F.col("label")).alias("label"),
     )
 
 
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """doc_id, mark (a hash of id and text), class_id (least id of the class), n_links (different
+    texts that are similar) per document."""
+    return classified(documents, similarity, recall).drop("label")
+
+
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("mark")
 
@@ -427,11 +439,14 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     Documents without words are no class and all stay, except rows equal in id and text.
     """
     mark = F.xxhash64("doc_id", text_or_empty())
-    rows = settled(near_duplicates(documents))
+    rows = settled(classified(documents).select("doc_id", "mark", "label"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
-    each = rows.groupBy("class_id", "doc_id", "mark").agg(F.count("*").alias("n"))
-    first = each.groupBy("class_id").agg(F.min(place).alias("one"), F.max("n").alias("n"))
-    keep = settled(first.select(F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"), "n"))
+    each = rows.groupBy("label", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = each.filter("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("one"), F.max("n").alias("n"))
+    wordless = each.filter("label IS NULL").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "n")
+    keep = settled(
+        first.select(F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"), "n").unionByName(wordless)
+    )
     kept = documents.join(
         keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_mark")), "left_semi"
     )

@@ -231,3 +231,20 @@ def test_one_of_each_class(spark, odd_dir, rows):
     ids = [r["doc_id"] for r in kept.collect()]
     assert 5 in ids and 6 not in ids and 7 not in ids and ids.count(5) == 1
     assert {0, 1, 2, 3, 4, 9, 10, 11} <= set(ids)
+
+
+def test_classes_are_told_apart_without_ids(spark):
+    """Unrelated texts of null or equal ids are classes of their own; wordless rows all stay."""
+    text = lambda c, n=30: " ".join(f"{c}{k}" for k in range(n))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("b")), (None, None), (None, ""), (None, " \n"),
+        (1, text("c")), (1, text("d")), (1, None), (2, text("c")), (None, text("d")), (3, text("e", 60)),
+        (None, text("e", 60) + " tail"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(map(tuple, chosen_path.one_of_each(docs).collect()))
+    gone = [(2, text("c")), (None, text("d")), (None, text("e", 60) + " tail"), (None, None), (None, "")]
+    assert all(kept[r] == 1 for r in rows if r not in gone)
+    assert not any(kept[r] for r in gone[:3])
+    # A null text is an empty one: the two rows are equal in id and text.
+    assert kept[(None, None)] + kept[(None, "")] == 1
