@@ -1,23 +1,24 @@
 """Personal data: fixed patterns, then terms that disclose a protected entity.
 
-The spans of the patterns are the protected entities.  Words close to an entity are candidate terms.
+The spans of the patterns are the protected entities.  The words of a document that holds an entity,
+however far off, are candidate terms.
 Over all documents, the pointwise mutual information of term and entity,
 log(N n(t,e) / (n(t) n(e))), is compared with the information of the entity, log(N / n(e)): a term
-whose share reaches `DISCLOSES` gives the entity away and becomes a span of kind `term`.  A pair counts
-once for each different neighbourhood, and needs `LEAST_SUPPORT` of them, so copies and near copies
-of one text are no evidence.
+whose share reaches `DISCLOSES` gives the entity away, and each of its occurrences in the documents that
+hold the entity becomes a span of kind `term`.  A pair needs `LEAST_SUPPORT` different texts, so
+copies of one text are no evidence.  Only documents of entities with as many texts are
+paired with terms, and only terms rare enough to reach the share.
 
 All counts are aggregates with map-side sums.  The count of terms over all documents is limited to terms
 of supported pairs: each partition sums the terms of a broadcast set while they are at most
 `BROADCAST_TERMS`, else counts of all words are joined by a shuffle; both give the same rows.
 
-Defined cases: null text is empty; entities without words around them disclose nothing; repeated
+Defined cases: null text is empty; documents without words beside entities disclose nothing; repeated
 rows get equal results; an empty table gives no rows; further columns are passed over.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-AROUND_CHARS, AROUND_WORDS = 120, 8
 DISCLOSES, LEAST_SUPPORT = 0.8, 3
 BROADCAST_TERMS = 200_000
 
@@ -104,56 +105,49 @@ def entity(kind: int, value: str) -> str:
     return f"{KINDS[kind]}:{DIGIT.sub('', value) if kind in (2, 3) else value.lower()}"
 
 
-def terms_around(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[str, int, int, str]]:
-    """term, start, end and its neighbourhood, for the words nearest to an entity on both sides."""
-    low, high = max(0, start - AROUND_CHARS), min(len(text), end + AROUND_CHARS)
-    before = [m for m in TERM.finditer(text, low, start) if m.start() > low or low == 0]
-    after = [m for m in TERM.finditer(text, end, high) if m.end() < high or high == len(text)]
-    words = before[-AROUND_WORDS:] + after[:AROUND_WORDS]
-    context = hashlib.blake2b(" ".join(m[0].lower() for m in words).encode(), digest_size=8).hexdigest()
-    return [
-        (m[0].lower(), m.start(), m.end(), context)
-        for m in words if not any(a < m.end() and m.start() < b for a, b in taken)
-    ]
+def terms_in(text: str) -> Iterator[re.Match]:
+    """The words of a text that can be terms."""
+    return TERM.finditer(text)
 
 
-AROUND = pa.list_(
-    pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.string())])
-)
-AROUND_SQL = "array<struct<entity:string,term:string,start:int,end:int,context:string>>"
+def free_terms(text: str) -> list[tuple[str, int, int]]:
+    """term, start and end of every word that no entity covers."""
+    taken = sorted(s for own in base_spans(text) for s in own)
+    out, at, end = [], 0, 0  # end: the farthest end of the entities that start before the word does
+    for m in terms_in(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            end = max(end, taken[at][1])
+            at += 1
+        if end <= m.start():
+            out.append((m[0].lower(), m.start(), m.end()))
+    return out
 
 
 def _found(rows: DataFrame) -> DataFrame:
-    """rows: doc_id, mark, text."""
+    """rows: doc_id, mark, text.  The text is kept where it has entities."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
-            spans, around = [], []
+            spans, entities, texts = [], [], []
             for text in batch.column("text").to_pylist():
                 found = base_spans(text)
                 for n in range(4):
                     counts[n].append(len(found[n]))
                 spans.append(spelled(found))
-                taken = [s for own in found for s in own]
-                around.append(
-                    [
-                        {"entity": entity(n, text[a:b]), "term": t, "start": s, "end": e, "context": c}
-                        for n, own in enumerate(found) for a, b in own
-                        for t, s, e, c in terms_around(text, a, b, taken)
-                    ]
-                )
+                entities.append(sorted({entity(n, text[a:b]) for n, own in enumerate(found) for a, b in own}))
+                texts.append(text if entities[-1] else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("mark"), *(pa.array(c, pa.int64()) for c in counts),
-                 pa.array(spans, pa.string()), pa.array(around, AROUND)],
-                ["doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base", "around"],
+                 pa.array(spans, pa.string()), pa.array(entities, pa.list_(pa.string())), pa.array(texts, pa.string())],
+                ["doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "held"],
             )
 
     return rows.mapInArrow(
         run,
         f"doc_id {kind}, mark long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-        f"around {AROUND_SQL}",
+        f"entities array<string>, held string",
     )
 
 
@@ -180,8 +174,8 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if text:
-                    words = TERM.findall(text.lower())
-                    counts.update(set(words) if known is None else known.intersection(words))
+                    words = {m[0] for m in terms_in(text.lower())}
+                    counts.update(words if known is None else known & words)
             if known is None:
                 yield counted(counts)
                 counts = Counter()
@@ -193,50 +187,116 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return sums if few else sums.join(terms, "term", "left_semi")
 
 
-def disclosing(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, share: the pairs in which the term gives the entity away."""
-    around = found.filter(F.size("around") > 0).select("doc_id", "mark", F.inline("around"))
-    pairs = (
-        around.groupBy("entity", "term", "context").agg(F.count_distinct(F.struct("doc_id", "mark")).alias("n"))
-        .groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("n").alias("n_pair"))
-        .filter(F.col("support") >= LEAST_SUPPORT)
+def _with_classes(found: DataFrame) -> DataFrame:
+    """doc_id, mark, kin, held and entity of the documents that hold an entity of enough texts.
+
+    kin: the text, by its hash.
+    """
+    content = F.xxhash64("held").alias("content")
+    holds = found.filter(F.size("entities") > 0).select("doc_id", "mark", content, F.explode("entities").alias("entity"))
+    often = holds.groupBy("entity").agg(F.count_distinct("content").alias("n")).filter(F.col("n") >= LEAST_SUPPORT)
+    some = stored(holds.join(often.select("entity"), "entity", "left_semi").distinct())
+    texts = found.filter("held IS NOT NULL").select(content, "held").join(
+        some.select("content").distinct(), "content", "left_semi"
+    )
+    texts = stored(texts.groupBy("content").agg(F.first("held").alias("held")))
+    return some.join(texts.withColumn("kin", F.col("content")), "content")
+
+
+def _terms(held: DataFrame) -> DataFrame:
+    """The rows with the distinct terms of `held`."""
+    names = [c for c in held.columns if c != "held"]
+    schema = ", ".join(f"`{c}` {held.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [sorted({t for t, _, _ in free_terms(text)}) for text in batch.column("held").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(terms, pa.list_(pa.string()))], [*names, "terms"]
+            )
+
+    return held.mapInArrow(run, f"{schema}, terms array<string>")
+
+
+def disclosing(documents: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entity, term, share: the pairs in which the term gives the entity away; and doc_id, mark, entity,
+    term: where such pairs can be."""
+    rows = stored(_with_classes(found))
+    n_entity = stored(
+        rows.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("kin").alias("support"))
+        .filter(F.col("support") >= LEAST_SUPPORT).drop("support")
+    )
+    holders = rows.join(n_entity.select("entity"), "entity", "left_semi").groupBy("doc_id", "mark").agg(
+        F.first("kin").alias("kin"), F.first("held").alias("held"), F.collect_set("entity").alias("entities")
     )
-    rows = around.select("entity", "term", "doc_id", "mark")
-    n_entity = (
-        rows.select("entity", "doc_id", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    words = stored(_terms(holders).select("doc_id", "mark", "kin", "entities", F.explode("terms").alias("term")))
+    total = float(max(documents.count(), 1))
+    # n_pair is at most n_entity, and a term is in no fewer documents than it is beside entities in:
+    # terms and pairs that these bounds already keep below the threshold are neither paired nor counted.
+    most = lambda n: n * F.pow(F.lit(total) / F.col("n_entity"), 1 - DISCLOSES) * (1 + 1e-9)
+    reach = n_entity.agg(F.max(most(F.col("n_entity")))).first()[0] or 0.0
+    n_near = words.groupBy("term").agg(F.count("*").alias("n_near"), F.count_distinct("kin").alias("support")).filter(
+        (F.col("support") >= LEAST_SUPPORT) & (F.col("n_near") <= reach)
+    ).drop("support")
+    around = words.join(n_near, "term").select("doc_id", "mark", "kin", "term", "n_near", F.explode("entities").alias("entity"))
+    around = stored(
+        around.join(n_entity, "entity").filter(F.col("n_near") <= most(F.col("n_entity")))
     )
-    n_near = rows.select("term", "doc_id", "mark").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    total = documents.count()
-    # A term is in no fewer documents than it is near entities in; pairs that this bound
-    # already keeps below the threshold need no count over all documents.
-    most = F.col("n_pair") * F.pow(F.lit(float(max(total, 1))) / F.col("n_entity"), 1 - DISCLOSES)
     pairs = stored(
-        pairs.join(n_entity, "entity").join(n_near, "term")
-        .filter(F.col("n_near") <= most * (1 + 1e-9)).drop("n_near")
+        around.groupBy("entity", "term").agg(
+            F.count_distinct("kin").alias("support"), F.count("*").alias("n_pair"),
+            F.first("n_entity").alias("n_entity"), F.first("n_near").alias("n_near"),
+        ).filter((F.col("support") >= LEAST_SUPPORT) & (F.col("n_near") <= most(F.col("n_pair"))))
     )
     n_term = term_counts(documents, pairs.select("term").distinct())
     both = pairs.join(n_term, "term").withColumn("n", F.greatest("n", "n_pair"))
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    shared = F.log2(F.col("n_pair") * float(max(total, 1)) / (F.col("n") * F.col("n_entity")))
-    return both.withColumn("share", F.when(information > 0, shared / information)).filter(
-        F.col("share") >= DISCLOSES
-    ).select("entity", "term", "share")
+    information = F.log2(F.lit(total) / F.col("n_entity"))
+    shared = F.log2(F.col("n_pair") * total / (F.col("n") * F.col("n_entity")))
+    share = F.when(information > 0, shared / information)
+    return (
+        both.withColumn("share", share).filter(F.col("share") >= DISCLOSES).select("entity", "term", "share"),
+        around.select("doc_id", "mark", "entity", "term"),
+    )
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows: doc_id, mark, held, names (terms).  terms: (start, end) of every occurrence."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for text, names in zip(batch.column("held").to_pylist(), batch.column("names").to_pylist()):
+                own = set(names)
+                spans.append([{"start": a, "end": b} for t, a, b in free_terms(text) if t in own])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("_mark"), pa.array(spans, SPANS)], ["_id", "_mark", "terms"]
+            )
+
+    return rows.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "held", "names").mapInArrow(
+        run, f"_id {kind}, _mark long, terms array<struct<start:int,end:int>>"
+    )
+
+
+def _same(hits: DataFrame, rows: DataFrame) -> Column:
+    return rows["doc_id"].eqNullSafe(hits["_id"]) & (rows["mark"] == hits["_mark"])
 
 
 def protected(documents: DataFrame) -> DataFrame:
     """doc_id, mark, counts, base and terms: (start, end) spans of disclosing terms."""
     rows = documents.select("doc_id", F.xxhash64("doc_id", text_or_empty()).alias("mark"), text_or_empty().alias("text"))
     found = stored(_found(rows))
-    pairs = disclosing(documents, found)
-    hits = (
-        found.filter(F.size("around") > 0).select("doc_id", "mark", F.inline("around"))
-        .join(pairs, ["entity", "term"]).groupBy("doc_id", "mark")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
-        .select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "terms")
+    pairs, around = disclosing(documents, found)
+    names = around.join(pairs, ["entity", "term"]).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.collect_set("term").alias("names")
+    )
+    holders = found.filter("held IS NOT NULL").select("doc_id", "mark", "held")
+    # Rows of equal id and text come more than once.
+    named = holders.join(names, _same(names, holders)).dropDuplicates(["doc_id", "mark"])
+    hits = stored(_placed(named.select("doc_id", "mark", "held", "names")))
+    return found.drop("held", "entities").join(hits, _same(hits, found), "left").select(
+        "doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base", "terms"
     )
-    return found.join(
-        hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left"
-    ).select("doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base", "terms")
 
 
 def sanitised_text(text: str, terms: list[tuple[int, int]]) -> str:

@@ -248,3 +248,24 @@ def test_classes_are_told_apart_without_ids(spark):
     assert not any(kept[r] for r in gone[:3])
     # A null text is an empty one: the two rows are equal in id and text.
     assert kept[(None, None)] + kept[(None, "")] == 1
+
+
+def _shown(docs):
+    got = pii_disclosure.protected(docs).join(docs, "doc_id").collect()
+    return {r["doc_id"]: [r["text"][t["start"] : t["end"]] for t in r["terms"] or []] for r in got}
+
+
+def _prose(rng, n):
+    return " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta", "kappa"], k=n))
+
+
+def test_terms_far_from_their_entity(spark):
+    """A name at the head goes with an address at the foot; a term goes wherever it stands in such a document."""
+    import random
+
+    rng = random.Random(12)
+    rows = [(n, f"Zorkov {_prose(rng, 90)} Zorkov {_prose(rng, 60)} zork@acme.com") for n in range(6)]
+    rows += [(100 + n, f"{_prose(rng, 40)} boss") for n in range(300)]
+    found = _shown(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(found[n] == ["Zorkov", "Zorkov"] for n in range(6)) and not any(found[n] for n in range(100, 400))
+
