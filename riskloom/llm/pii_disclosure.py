@@ -5,9 +5,9 @@ however far off, are candidate terms.
 Over all documents, the pointwise mutual information of term and entity,
 log(N n(t,e) / (n(t) n(e))), is compared with the information of the entity, log(N / n(e)): a term
 whose share reaches `DISCLOSES` gives the entity away, and each of its occurrences in the documents that
-hold the entity becomes a span of kind `term`.  A pair needs `LEAST_SUPPORT` different texts, so
-copies of one text are no evidence.  Only documents of entities with as many texts are
-paired with terms, and only terms rare enough to reach the share.
+hold the entity becomes a span of kind `term`.  A pair needs `LEAST_SUPPORT` different texts, and near copies are
+one text, so copies of one text are no evidence.  Only documents of entities with as many texts are compared
+and paired with terms, and only terms rare enough to reach the share.
 
 All counts are aggregates with map-side sums.  The count of terms over all documents is limited to terms
 of supported pairs: each partition sums the terms of a broadcast set while they are at most
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskloom.llm.chosen_path import classified
 from riskloom.llm.shared import stored, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -190,7 +191,7 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
 def _with_classes(found: DataFrame) -> DataFrame:
     """doc_id, mark, kin, held and entity of the documents that hold an entity of enough texts.
 
-    kin: the text, by its hash.
+    kin: the class of near copies.  Only these texts are compared.
     """
     content = F.xxhash64("held").alias("content")
     holds = found.filter(F.size("entities") > 0).select("doc_id", "mark", content, F.explode("entities").alias("entity"))
@@ -200,7 +201,9 @@ def _with_classes(found: DataFrame) -> DataFrame:
         some.select("content").distinct(), "content", "left_semi"
     )
     texts = stored(texts.groupBy("content").agg(F.first("held").alias("held")))
-    return some.join(texts.withColumn("kin", F.col("content")), "content")
+    kin = classified(texts.select(F.col("content").alias("doc_id"), F.col("held").alias("text")))
+    kin = kin.select(F.col("doc_id").alias("content"), F.col("label").alias("kin"))
+    return some.join(texts.join(kin, "content"), "content")
 
 
 def _terms(held: DataFrame) -> DataFrame:

@@ -269,3 +269,17 @@ def test_terms_far_from_their_entity(spark):
     found = _shown(spark.createDataFrame(rows, "doc_id long, text string"))
     assert all(found[n] == ["Zorkov", "Zorkov"] for n in range(6)) and not any(found[n] for n in range(100, 400))
 
+
+def test_signatures_disclose_and_copies_do_not(spark):
+    """The same words around an entity in different texts are evidence; near copies are one text."""
+    import random
+
+    rng = random.Random(13)
+    foot = "kind regards Zorkov head of sales mail zork@acme.com today please or call the alpha beta desk"
+    rows = [(n, f"{_prose(rng, 80)} {foot}") for n in range(5)]
+    letter = f"{_prose(rng, 100)} Copyman copy@acme.com {_prose(rng, 100)}"
+    rows += [(50 + n, f"{letter} {'kappa ' * n}") for n in range(6)]
+    rows += [(100 + n, f"{_prose(rng, 40)} kind regards head of sales mail today please or call the desk") for n in range(300)]
+    found = _shown(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(found[n] == ["Zorkov"] for n in range(5)) and not any(found[n] for n in found if n >= 50)
+
