@@ -8,7 +8,9 @@ uniform on 0 to 1 for random tokens, near 0 for words, slugs and numbered names.
 
 False discoveries are controlled by encoding and length class, since short tokens test weakly: in
 each class the random tokens are estimated from the upper half of the p-values, and the least
-p-value is taken at which the surplus over them is at most `MOST_FALSE` of the tokens taken.  Only
+p-value is taken at which the surplus over them is at most `MOST_FALSE` of the tokens taken.  A token
+counts once, however often it is copied.  A class of fewer than `LEAST_TOKENS` goes by its encoding, one
+whose encoding has fewer by all tokens and as many random ones as a prior.  Only
 a histogram of 100 p-values by class (at most 36 classes) leaves the executors.
 
 Everything is DataFrame functions inside the document's own row.  Places count code points.
@@ -20,7 +22,7 @@ empty table gives no rows; further columns are passed over.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from riskloom.functions.plan import computed_once
 from riskloom.llm.shared import settled, table, text_or_empty
@@ -45,6 +47,8 @@ ALPHABETS = (
 LENGTH_STEP, LENGTH_CLASSES = 8, 9
 BUCKETS = 100
 MOST_FALSE, LEAST_P = 0.05, 0.01
+#: Among so many random tokens, one more in the lower half is within MOST_FALSE.
+LEAST_TOKENS = 40
 
 
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -147,7 +151,7 @@ def _length_class(length: Column) -> Column:
 
 
 def scanned(documents: DataFrame, *keep: str) -> DataFrame:
-    """keep, base (spans of the fixed patterns) and tokens (start, end, class, p) of every text."""
+    """keep, base (spans of the fixed patterns) and tokens (start, end, class, p, token: its hash) of every text."""
     text = F.col("_text")
     one = computed_once(
         documents.select(*keep, text_or_empty().alias("_text")),
@@ -189,32 +193,47 @@ def scanned(documents: DataFrame, *keep: str) -> DataFrame:
         lambda x: F.struct(
             x["start"].alias("start"), x["end"].alias("end"),
             (x["encoding"] * LENGTH_CLASSES + _length_class(F.size(x["at"]))).alias("class"),
-            _battery(x).alias("p"),
+            _battery(x).alias("p"), F.xxhash64(x["plain"]).alias("token"),
         ),
     )
     return three.select(*keep, "n_assign", "n_access", "n_hex", "base", tokens.alias("tokens"))
 
 
+def _least_bucket(counts: list[float]) -> int | None:
+    """counts by bucket.  The least bucket from which on the surplus over random tokens is small enough."""
+    random = 2 * sum(counts[BUCKETS // 2 :])
+    least, taken = None, 0.0
+    for bucket in range(BUCKETS - 1, round(LEAST_P * BUCKETS) - 1, -1):
+        taken += counts[bucket]
+        if taken and taken - random * (1 - bucket / BUCKETS) <= taken * MOST_FALSE:
+            least = bucket
+    return least
+
+
 def least_p(tokens: DataFrame) -> dict[int, float]:
-    """tokens: class, p.  By class, the least p-value taken; from a histogram of bounded size."""
+    """tokens: class, p, token.  By class, the least p-value taken; from a histogram of bounded size."""
     bucket = F.least(F.floor(F.col("p") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    counts = tokens.groupBy("class", bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    upper = F.sum(F.when(F.col("bucket") * 2 >= BUCKETS, F.col("n")).otherwise(0))
-    both = counts.withColumn("random", upper.over(Window.partitionBy("class")) * 2).withColumn(
-        "taken", F.sum("n").over(Window.partitionBy("class").orderBy(F.col("bucket").desc()))
-    )
-    expected = F.col("random") * (1 - F.col("bucket") / BUCKETS)
-    fit = both.filter(
-        (F.col("taken") - expected <= F.col("taken") * MOST_FALSE) & (F.col("bucket") >= LEAST_P * BUCKETS)
-    )
-    rows = fit.groupBy("class").agg(F.min("bucket").alias("bucket")).collect()
-    return {r["class"]: r["bucket"] / BUCKETS for r in rows}
+    each = tokens.groupBy("class", "token").agg(F.min(bucket).alias("bucket"))
+    by_class: dict[int, list[float]] = {}
+    by_encoding: dict[int, list[float]] = {}
+    every = [LEAST_TOKENS / BUCKETS] * BUCKETS
+    for r in each.groupBy("class", "bucket").agg(F.count("*").alias("n")).collect():
+        encoding = r["class"] // LENGTH_CLASSES
+        for counts in (by_class.setdefault(r["class"], [0] * BUCKETS), by_encoding.setdefault(encoding, [0] * BUCKETS), every):
+            counts[r["bucket"]] += r["n"]
+    out = {}
+    for number, counts in by_class.items():
+        wider = (counts, by_encoding[number // LENGTH_CLASSES], every)
+        least = _least_bucket(next((c for c in wider if sum(c) >= LEAST_TOKENS), every))
+        if least is not None:
+            out[number] = least / BUCKETS
+    return out
 
 
 def secrets(documents: DataFrame, *keep: str) -> DataFrame:
     """keep, counts, base and found: all spans (start, kind, end) with those of the battery."""
     rows = settled(scanned(documents, *keep))
-    limits = least_p(rows.select(F.inline("tokens")))
+    limits = least_p(rows.select(F.inline("tokens")).select("class", "p", "token"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     added = none
     if limits:

@@ -283,3 +283,22 @@ def test_signatures_disclose_and_copies_do_not(spark):
     found = _shown(spark.createDataFrame(rows, "doc_id long, text string"))
     assert all(found[n] == ["Zorkov"] for n in range(5)) and not any(found[n] for n in found if n >= 50)
 
+
+
+def test_copies_of_a_token_set_no_threshold(spark):
+    """Each token counts once; a class of one token is judged by the others of its kind."""
+    import random
+
+    rng = random.Random(15)
+    random_tokens = [(0, rng.random(), n) for n in range(1000)]
+    once = secret_randomness.least_p(spark.createDataFrame(random_tokens, "class int, p double, token long"))
+    slug, real = [(0, 0.305, -1)] * 20_000, [(0, 0.75, -2)] * 20_000
+    for more in (slug, real):
+        docs = spark.createDataFrame(random_tokens + more, "class int, p double, token long")
+        assert abs(secret_randomness.least_p(docs)[0] - once[0]) <= 0.02
+    words = [(1, 0.02 + 0.1 * rng.random(), n) for n in range(100)]
+    counted = secret_randomness.least_p(spark.createDataFrame(words + [(1, 0.75, -3)] * 5000, "class int, p double, token long"))
+    assert counted.get(1, 1) > 0.1
+    alone = secret_randomness.least_p(spark.createDataFrame([(30, 0.2, 7)], "class int, p double, token long"))
+    assert alone[30] <= 0.2
+
