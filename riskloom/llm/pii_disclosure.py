@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,7 +38,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+MARKS = "".join(c for c in map(chr, (*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0))) if category(c).startswith("M"))
+MARK = re.compile(f"[{MARKS}]")
+LETTERS = re.compile(r"[^\W\d_]{3,}")
+TERM = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{MARKS}]){{2,}}")
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 DISCLOSES, LEAST_SUPPORT = 0.8, 3
@@ -108,7 +112,7 @@ def entity(kind: int, value: str) -> str:
 
 def terms_in(text: str) -> Iterator[re.Match]:
     """The words of a text that can be terms."""
-    return TERM.finditer(text)
+    return (LETTERS if text.isascii() or not MARK.search(text) else TERM).finditer(text)
 
 
 def free_terms(text: str) -> list[tuple[str, int, int]]:
@@ -175,7 +179,7 @@ def term_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if text:
-                    words = {m[0] for m in terms_in(text.lower())}
+                    words = {w.lower() for w in {m[0] for m in terms_in(text)}}
                     counts.update(words if known is None else known & words)
             if known is None:
                 yield counted(counts)

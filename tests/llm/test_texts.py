@@ -284,6 +284,17 @@ def test_signatures_disclose_and_copies_do_not(spark):
     assert all(found[n] == ["Zorkov"] for n in range(5)) and not any(found[n] for n in found if n >= 50)
 
 
+def test_terms_of_other_scripts(spark):
+    """Dotted capital I grows when lower-cased; Hindi words hold combining marks."""
+    import random
+
+    rng = random.Random(14)
+    names = ["İzmirli", "\u092e\u094b\u0939\u0928", "\u0930\u093e\u092e"]
+    rows = [(n, f"{_prose(rng, 9)} {' '.join(names)} {_prose(rng, 3)} a@acme.com") for n in range(6)]
+    rows += [(100 + n, _prose(rng, 40)) for n in range(300)]
+    found = _shown(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(found[n] == names for n in range(6))
+
 
 def test_copies_of_a_token_set_no_threshold(spark):
     """Each token counts once; a class of one token is judged by the others of its kind."""
