@@ -185,12 +185,18 @@ def held_out() -> Column:
 
 def fit(documents: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> dict | None:
     labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    dealt = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # An id can come with many texts and a text more than once: the sample is of different (doc_id, lang, text).
+    key = F.xxhash64("text")
+    dealt = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "_text"), "doc_id", "_text")
     chosen = (
-        labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(dealt))
-        .filter(F.col("n") <= per_label).select("doc_id", "lang").distinct()
+        labelled.select("doc_id", "lang", key.alias("_text")).distinct().withColumn("n", F.row_number().over(dealt))
+        .filter(F.col("n") <= per_label)
+        .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), "_text")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")) & (key == F.col("_text"))
+    sample = labelled.select("doc_id", "lang", "text").join(chosen, same).dropDuplicates(["_id", "_lang", "_text"]).select(
+        "doc_id", "lang", "text"
     )
-    sample = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "lang", "text"])

@@ -313,3 +313,12 @@ def test_copies_of_a_token_set_no_threshold(spark):
     alone = secret_randomness.least_p(spark.createDataFrame([(30, 0.2, 7)], "class int, p double, token long"))
     assert alone[30] <= 0.2
 
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Rows of one id, copies and null ids are in the sample once for each text, and not above its bound."""
+    rows = [(7, f"text {n}", "en") for n in range(200)] + [(7, "text 0", "en")] * 50 + [(None, f"none {n}", "de") for n in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # The model stands for the sample: its size and labels.
+    monkeypatch.setattr(language, "train", lambda texts, names: {"size": len(texts), "labels": Counter(names)})
+    got = language.fit(docs, per_label=20)
+    assert got["labels"] == {"en": 20, "de": 9}
