@@ -38,10 +38,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[^0-9]")
-MARKS = "".join(c for c in map(chr, (*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0))) if category(c).startswith("M"))
-MARK = re.compile(f"[{MARKS}]")
+MARKS = frozenset(c for c in map(chr, (*range(0x300, 0x1F000), *range(0xE0100, 0xE01F0))) if category(c).startswith("M"))
 LETTERS = re.compile(r"[^\W\d_]{3,}")
-TERM = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{MARKS}]){{2,}}")
+# A set with characters above U+FFFF is searched range by range, so these are looked at only where one stands.
+_LOW, _HIGH = ("".join(sorted(c for c in MARKS if (c > "￿") == high)) for high in (False, True))
+TERM = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_LOW}]|(?=[\U00010000-\U0010FFFF])[{_HIGH}]){{2,}}")
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 DISCLOSES, LEAST_SUPPORT = 0.8, 3
@@ -112,7 +113,7 @@ def entity(kind: int, value: str) -> str:
 
 def terms_in(text: str) -> Iterator[re.Match]:
     """The words of a text that can be terms."""
-    return (LETTERS if text.isascii() or not MARK.search(text) else TERM).finditer(text)
+    return (LETTERS if text.isascii() or MARKS.isdisjoint(text) else TERM).finditer(text)
 
 
 def free_terms(text: str) -> list[tuple[str, int, int]]:
