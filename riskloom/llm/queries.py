@@ -7,6 +7,7 @@ from riskloom.llm.chat_windows import OP3_SQL, op3_chat_windows
 from riskloom.llm.chosen_path import OP9_SQL, op9_chosen_path
 from riskloom.llm.hilbert_neighbours import op4_hilbert_neighbours
 from riskloom.llm.language import op7_language
+from riskloom.llm.line_runs import OP13_SQL, op13_line_runs
 from riskloom.llm.mixing import OP1_SQL, op1_mixing
 from riskloom.llm.pii_disclosure import op8_pii_disclosure
 from riskloom.llm.quality_lines import OP2_SQL, op2_quality_lines
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_chosen_path": op9_chosen_path,
     "op10_secret_randomness": op10_secret_randomness,
+    "op13_line_runs": op13_line_runs,
 }
 ORACLE = {
     "op1_mixing": OP1_SQL,
@@ -31,4 +33,5 @@ ORACLE = {
     "op3_chat_windows": OP3_SQL,
     "op5_suffix_dedup": OP5_SQL,
     "op9_chosen_path": OP9_SQL,
+    "op13_line_runs": OP13_SQL,
 }

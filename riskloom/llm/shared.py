@@ -63,3 +63,41 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: At most so many keys hold a ten-thousandth of all weight each: a proven bound for a broadcast.
+HOT_KEYS = 10_000
+
+
+def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """big LEFT JOIN small, without a task that gets all rows of one key.
+
+    small has one row a key; `weight` bounds the rows of big with that key (up to a factor), and all weights sum
+    to `total` at most.  Keys of a ten-thousandth of the total or more, 10,000 at most, are broadcast;
+    rows that they serve are spread over the join with the rest, where no key is large.
+    """
+    values = [c for c in small.columns if c not in on]
+    is_hot = F.col(weight) * F.lit(HOT_KEYS) >= F.lit(total)
+    hot = small.where(is_hot).select(
+        *[F.col(c).alias(f"_hot_{c}") for c in on], F.struct(*values).alias("_hot_values")
+    )
+    cold = small.where(~is_hot).select(
+        *[F.col(c).alias(f"_cold_{c}") for c in on], F.lit(0).alias("_cold_salt"),
+        F.struct(*values).alias("_cold_values"),
+    )
+    every = lambda side: [F.col(c) == F.col(f"_{side}_{c}") for c in on]
+    served = F.col("_hot_values").isNotNull()
+    salt = F.when(served, 1 + F.pmod(F.xxhash64(*big.columns), F.lit(4096)).cast("int")).otherwise(0)
+    joined = (
+        big.join(F.broadcast(hot), every("hot"), "left")
+        .withColumn("_salt", salt)
+        .join(cold, [*every("cold"), F.col("_salt") == F.col("_cold_salt")], "left")
+    )
+    value = F.when(served, F.col("_hot_values")).otherwise(F.col("_cold_values"))
+    return joined.select(*[F.col(c) for c in big.columns], *[value[c].alias(c) for c in values])
+
+
+def with_row_id(rows: DataFrame) -> DataFrame:
+    """A table read from files, with `_file` and `_row`: where a row lies, the same in every read."""
+    at = F.col("_metadata")
+    return rows.select("*", F.xxhash64(at["file_path"]).alias("_file"), at["row_index"].alias("_row"))
