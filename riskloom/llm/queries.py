@@ -5,6 +5,7 @@ from __future__ import annotations
 from riskloom.llm.byte_bpe import op6_byte_bpe
 from riskloom.llm.chat_windows import OP3_SQL, op3_chat_windows
 from riskloom.llm.chosen_path import OP9_SQL, op9_chosen_path
+from riskloom.llm.collocations import OP12_SQL, op12_collocations
 from riskloom.llm.hilbert_neighbours import op4_hilbert_neighbours
 from riskloom.llm.language import op7_language
 from riskloom.llm.line_runs import OP13_SQL, op13_line_runs
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_chosen_path": op9_chosen_path,
     "op10_secret_randomness": op10_secret_randomness,
+    "op12_collocations": op12_collocations,
     "op13_line_runs": op13_line_runs,
 }
 ORACLE = {
@@ -33,5 +35,6 @@ ORACLE = {
     "op3_chat_windows": OP3_SQL,
     "op5_suffix_dedup": OP5_SQL,
     "op9_chosen_path": OP9_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_line_runs": OP13_SQL,
 }
