@@ -11,6 +11,7 @@ from riskloom.llm.language import op7_language
 from riskloom.llm.line_runs import OP13_SQL, op13_line_runs
 from riskloom.llm.mixing import OP1_SQL, op1_mixing
 from riskloom.llm.pii_disclosure import op8_pii_disclosure
+from riskloom.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from riskloom.llm.quality_lines import OP2_SQL, op2_quality_lines
 from riskloom.llm.secret_randomness import op10_secret_randomness
 from riskloom.llm.suffix_dedup import OP5_SQL, op5_suffix_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_pii_disclosure": op8_pii_disclosure,
     "op9_chosen_path": op9_chosen_path,
     "op10_secret_randomness": op10_secret_randomness,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_collocations": op12_collocations,
     "op13_line_runs": op13_line_runs,
 }
@@ -35,6 +37,7 @@ ORACLE = {
     "op3_chat_windows": OP3_SQL,
     "op5_suffix_dedup": OP5_SQL,
     "op9_chosen_path": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op12_collocations": OP12_SQL,
     "op13_line_runs": OP13_SQL,
 }
