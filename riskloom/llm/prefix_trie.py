@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from riskloom.llm.shared import IN_PARTITION, hot_join, settled, table
+from riskloom.llm.shared import IN_PARTITION, hot_join, settled, stored, table
 
 BLOCK, SPREAD = 100, 6
 LOCAL_NODES = 4096
@@ -204,6 +204,7 @@ def subtree_sums(nodes: DataFrame, rows: DataFrame, local_nodes: int = LOCAL_NOD
     """k1, k2, sum_1, sum_2: sums of v1 and v2 over each node's subtree, its top included.
 
     nodes: key, parent's key, conv_id, depth, weight, v1, v2.  rows: members, to look up nodes on paths.
+    Rounds end in written tables: a checkpoint would carry the growing constraints of all joins before.
     """
     zero = F.lit(0).cast("long")
     state = nodes.select(
@@ -215,22 +216,22 @@ def subtree_sums(nodes: DataFrame, rows: DataFrame, local_nodes: int = LOCAL_NOD
     )
     done = []
     while True:
-        sizes = settled(state.groupBy(*TOP).agg(F.count("*").alias("nodes"), F.max("weight").alias("whole")))
+        sizes = stored(state.groupBy(*TOP).agg(F.count("*").alias("nodes"), F.max("weight").alias("whole")))
         total = sizes.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0]
         large = sizes.where(F.col("nodes") > local_nodes)
         if large.isEmpty():
             break
-        marked = settled(hot_join(state, large, TOP, "nodes", total))
+        marked = stored(hot_join(state, large, TOP, "nodes", total))
         done.append(marked.where("nodes IS NULL").select(*state.columns))
         marked = marked.where("nodes IS NOT NULL")
         heavy = F.col("weight") * 2 > F.col("whole")
-        cuts = settled(
+        cuts = stored(
             marked.where(heavy).groupBy(*TOP).agg(
                 F.max_by(F.struct("k1", "k2", "depth", "weight"), "depth").alias("cut"), F.max("nodes").alias("nodes")
             )
         )
         cut = hot_join(marked.drop("nodes"), cuts, TOP, "nodes", total)
-        cut = settled(cut.withColumn("path", heavy))
+        cut = stored(cut.withColumn("path", heavy))
         # chains: nodes of one smallest member in one component
         chains = cut.where("NOT path").groupBy(*TOP, "conv_id").agg(
             F.count("*").alias("length"), F.first("cut").alias("cut")
@@ -240,11 +241,11 @@ def subtree_sums(nodes: DataFrame, rows: DataFrame, local_nodes: int = LOCAL_NOD
             (F.col("conv_id") == F.col("_m")) & (F.col("cut.depth") + 1 == F.col("_depth"))
             & (F.col("_p1") == F.col("cut.k1")) & (F.col("_p2") == F.col("cut.k2")),
         ).select(*TOP, "conv_id", "length", F.col("_k1").alias("n1"), F.col("_k2").alias("n2"))
-        dealt = hot_join(cut, settled(below), [*TOP, "conv_id"], "length", total)
+        dealt = hot_join(cut, stored(below), [*TOP, "conv_id"], "length", total)
         centre = (F.col("k1") == F.col("cut.k1")) & (F.col("k2") == F.col("cut.k2"))
         under = F.col("n1").isNotNull() & ~F.col("path") & (F.col("depth") > F.col("cut.depth"))
-        dealt = settled(dealt.withColumn("centre", centre).withColumn("under", under))
-        sides = settled(
+        dealt = stored(dealt.withColumn("centre", centre).withColumn("under", under))
+        sides = stored(
             dealt.where("centre OR under").groupBy(*TOP).agg(
                 F.sum("v1").alias("s1"), F.sum("v2").alias("s2"), F.max("nodes").alias("_nodes")
             )
@@ -252,7 +253,7 @@ def subtree_sums(nodes: DataFrame, rows: DataFrame, local_nodes: int = LOCAL_NOD
         added = hot_join(dealt, sides, TOP, "_nodes", total)
         above = F.col("path") & ~F.col("centre")
         more = lambda n: F.when(F.col("path"), F.col(f"s{n}")).otherwise(0)
-        moved = settled(
+        moved = stored(
             added.select(
                 *KEY, *PARENT, "conv_id", "depth",
                 F.when(above, F.col("weight") - F.col("cut.weight")).otherwise(F.col("weight")).alias("weight"),

@@ -62,7 +62,7 @@ def _talk():
     return rows
 
 
-@pytest.mark.parametrize("block,local_nodes,parts", [(BLOCK, 4096, "4"), (BLOCK, 20, "7"), (None, 3, "4")])
+@pytest.mark.parametrize("block,local_nodes,parts", [(BLOCK, 4096, "4"), (BLOCK, 12, "7")])
 def test_against_plain_python(spark, block, local_nodes, parts):
     rows = _talk()
     table = spark.createDataFrame(
