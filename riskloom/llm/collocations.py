@@ -27,7 +27,7 @@ from riskloom.llm.shared import hot_join, ranked, settled, stored, table, text_o
 
 LEAST, COVERED, TOP = 10, 50, 2000
 SHARD_TOKENS, CHUNK_BYTES = 1 << 21, 1 << 20
-LEVEL_BITS = 10
+LEVEL_BITS, RANK_PARTS = 10, 64
 # A-Z to a-z, piece ends to a line feed, tab to space.
 _BYTES = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n "
@@ -310,8 +310,11 @@ def collocations(
         F.when(by_first, F.col("f_jk")).otherwise(F.col("f_k")).alias("r"),
         F.least("cut_1", "cut_2").alias("score"),
     )
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    leading = pairs.unionByName(triples).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    leading = pairs.unionByName(triples).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
+    for key in (["lang", "part"], ["lang"]):  # a language's last task gets RANK_PARTS x top rows at most
+        best = Window.partitionBy(*key).orderBy(*order)
+        leading = leading.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return leading.join(of_lang, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
