@@ -261,16 +261,21 @@ SELECT c.path, c.line_no, min(u.line_no) AS use_line, c.v FROM
 JOIN (SELECT * FROM lines WHERE {rx('text', ML.FILE_OPERATION)}) u
   ON u.path = c.path AND u.line_no BETWEEN c.line_no + 1 AND c.line_no + 3 AND contains(u.text, c.v)
 WHERE c.v <> '' GROUP BY ALL"""
-CTES["d2"] = f"""
-SELECT path, line_no, CASE WHEN w IS NOT NULL AND w <= coalesce(e, w) THEN 'CSRF-002' ELSE 'CSRF-003' END AS rule_id
-FROM (SELECT f.path, f.line_no, min(l.line_no) FILTER (WHERE {rx('l.text', ML.TOKEN_WORD)}) AS t,
-        min(l.line_no) FILTER (WHERE {rx('l.text', ML.FORM_END)}) AS e,
-        min(l.line_no) FILTER (WHERE {rx('l.text', ML.STATE_CHANGE)}) AS w
-      FROM (SELECT path, line_no, next_form FROM (SELECT path, line_no, text, coalesce(lead(line_no) OVER (PARTITION BY path ORDER BY line_no), 1000000000) AS next_form
-              FROM lines WHERE contains(lower(text), '<form')) WHERE {rx('text', ML.POST_FORM)}) f
-      LEFT JOIN lines l ON l.path = f.path AND l.line_no > f.line_no AND l.line_no < f.next_form
-      GROUP BY ALL)
-WHERE t IS NULL OR t > coalesce(e, t)"""
+def forms_sql(reach: str) -> str:
+    """Lines after a POST form are read in order: a token protects it, a data change counts, its end is the last one read."""
+    return f"""
+SELECT path, line_no, CASE WHEN bool_or(w) THEN 'CSRF-002' ELSE 'CSRF-003' END AS rule_id
+FROM (SELECT f.path, f.line_no, coalesce({rx('l.text', ML.TOKEN_WORD)}, false) AS t,
+        coalesce({rx('l.text', ML.STATE_CHANGE)}, false) AS w,
+        coalesce(bool_or({rx('l.text', ML.FORM_END)}) OVER (PARTITION BY f.path, f.line_no ORDER BY l.line_no
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS after_end
+      FROM (SELECT path, line_no FROM lines WHERE {rx('text', ML.POST_FORM)}) f
+      LEFT JOIN lines l ON l.path = f.path AND l.line_no > f.line_no {reach})
+WHERE NOT after_end GROUP BY path, line_no HAVING NOT bool_or(t)"""
+
+
+CTES["d2"] = forms_sql("AND l.line_no <= f.line_no + 30")
+CTES["d2_whole"] = forms_sql("")
 CTES["d3"] = f"""
 SELECT path, min(line_no) FILTER (WHERE u) AS line_no, count(*) FILTER (WHERE u) AS n FROM
 (SELECT path, line_no, {rx('text', ML.SESSION_UNSET)} AS u, {rx('text', ML.SESSION_DESTROY)} AS d FROM lines)
@@ -595,6 +600,8 @@ def all_sql() -> dict[str, str]:
     detected = lambda n: (
         f"SELECT path, line_no, rule_id, match_text FROM detected WHERE pass_ord = {n}"
     )
+    detected_whole = f"""SELECT path, line_no, rule_id, CASE rule_id WHEN 'CSRF-002' THEN {q(ML.FORM_WRITE_MATCH)}
+        ELSE {q(ML.FORM_MATCH)} END AS match_text FROM d2_whole"""
     judged = lambda cols, cond="true": f"SELECT {cols} FROM judged WHERE {cond}"
     func = "sanitizer_func"
     bodies = {
@@ -625,7 +632,7 @@ def all_sql() -> dict[str, str]:
         "san_file_level": judged(f"path, line_no, rule_id, {func}", f"ends_with({func}, ' (file-level)')"),
         "context_lines": """SELECT path, line_no, rule_id, line_text, match_text, before_text, after_text
             FROM judged JOIN context USING (path, line_no)""",
-        "toctou": detected(3), "csrf_form": detected(4), "insecure_logout": detected(5),
+        "toctou": detected(3), "csrf_form": detected(4), "csrf_form_whole": detected_whole, "insecure_logout": detected(5),
         "missing_headers": detected(6),
         "taint_facts": """SELECT path, line_no, target, array_to_string(rest_vars, ',') AS rest_vars, src_key,
             fetch_var, row_to, row_from, cleans, array_to_string(sinks, ',') AS sinks,

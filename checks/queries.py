@@ -228,6 +228,7 @@ def _detected(found):
 
 toctou = _detected(detectors.check_then_use)
 csrf_form = _detected(detectors.unprotected_forms)
+csrf_form_whole = _detected(lambda: detectors.unprotected_forms(None))
 insecure_logout = _detected(detectors.incomplete_logout)
 missing_headers = _detected(detectors.missing_headers)
 
@@ -530,7 +531,8 @@ QUERIES = {
         (None, rule_suppression), (None, confidence_score),
         ("san_same_line", san_same_line), ("san_lookback", san_lookback),
         ("san_file_level", san_file_level), (None, context_lines),
-        ("toctou", toctou), ("csrf_form", csrf_form), ("insecure_logout", insecure_logout),
+        ("toctou", toctou), ("csrf_form", csrf_form), ("csrf_form_whole", csrf_form_whole),
+        ("insecure_logout", insecure_logout),
         ("missing_headers", missing_headers),
         (None, taint_facts), (None, taint_sources), (None, taint_flows), (None, taint_findings),
         (None, dedup_findings), (None, active_findings), (None, sev_counts), (None, cat_counts),

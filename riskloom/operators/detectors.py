@@ -105,41 +105,77 @@ def check_then_use() -> Column:
     return F.transform(hits, report)
 
 
-def unprotected_forms() -> Column:
-    """POST forms without a token word before the form ends, or the next one begins."""
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def first(lines: Column, pattern: str) -> Column:
-        return F.array_position(F.transform(lines, lambda t: matches(t, pattern)), F.lit(True))
 
-    def examined(x: Column) -> Column:
-        following = F.slice("lines", x["line_no"] + 1, x["reach"])
-        return F.struct(
-            x["line_no"].alias("line_no"),
-            first(following, M.TOKEN_WORD).alias("token"),
-            first(following, M.STATE_CHANGE).alias("write"),
-            first(following, M.FORM_END).alias("end"),
+def _form_letters() -> Column:
+    """A letter per line: T token word, E end of form, W data change, B both of these, - none."""
+
+    def letter(text: Column) -> Column:
+        ends, writes = matches(text, M.FORM_END), matches(text, M.STATE_CHANGE)
+        return (
+            F.when(matches(text, M.TOKEN_WORD), F.lit("T"))
+            .when(ends, F.when(writes, F.lit("B")).otherwise(F.lit("E")))
+            .when(writes, F.lit("W")).otherwise(F.lit("-"))
         )
 
-    def reached(at: Column, end: Column) -> Column:
-        return (at > 0) & ((end == 0) | (at <= end))
-
-    # Each form looks as far as the line before the next one: every line is looked at once.
-    begun = _numbered_lines("<form")
-    ended = F.zip_with(
-        begun,
-        F.concat(F.slice(F.transform(begun, lambda x: x["line_no"]), 2, F.greatest(F.size(begun), F.lit(1))), F.array(F.size("lines") + 1)),
-        lambda x, next_form: F.struct(
-            x["line_no"].alias("line_no"), x["text"].alias("text"),
-            F.greatest(next_form - x["line_no"] - 1, F.lit(0)).alias("reach"),
-        ),
-    )
-    forms = F.filter(ended, lambda x: x["line_no"].isNotNull() & matches(x["text"], M.POST_FORM))
-    open_forms = F.filter(
-        F.transform(forms, examined), lambda f: ~reached(f["token"], f["end"])
+    return F.array_join(F.transform("lines", letter), "")
+
+
+# The rest of a form: up to the line with its token or its end, or as far as one looks.
+_FORM_REST = "[-W]*[TEB]?"
+
+
+def unprotected_forms(reach: int | None = M.FORM_REACH) -> Column:
+    """POST forms without a token word in the lines after them, up to the form's end.
+
+    ``reach`` is how many lines a form looks ahead, None: any number.  Other forms in
+    between do not matter.  Every line is judged once, whatever the number of forms.
+    """
+    forms = F.transform(
+        F.filter(_numbered_lines("<form"), lambda x: matches(x["text"], M.POST_FORM)),
+        lambda x: x["line_no"],
     )
+    bounded = reach is not None
+
+    def rests(letters: Column) -> Column:
+        """For each line, what a form on the line before it would see (without a reach)."""
+        runs = F.regexp_extract_all(letters, F.lit("[-W]*[TEB]|[-W]+"), F.lit(0))
+
+        def outcomes(run: Column) -> Column:
+            last_write = F.length(F.regexp_extract(run, "^.*[WB]", 0))
+            token = F.endswith(run, F.lit("T"))
+            return F.transform(
+                F.sequence(F.lit(1), F.length(run)),
+                lambda k: F.when(token, F.lit("T")).when(k <= last_write, F.lit("W")).otherwise(F.lit("-")),
+            )
+
+        return F.flatten(F.transform(runs, outcomes))
+
+    def verdict(seen: Column, line_no: Column) -> Column:
+        if not bounded:
+            return F.coalesce(F.get(seen, line_no), F.lit("-"))
+        rest = F.regexp_extract(F.substr(seen, line_no + 1, F.lit(reach)), f"^{_FORM_REST}", 0)
+        return (
+            F.when(F.endswith(rest, F.lit("T")), F.lit("T"))
+            .when(F.rlike(rest, F.lit("[WB]")), F.lit("W")).otherwise(F.lit("-"))
+        )
+
+    def judged(at: Column) -> Column:
+        seen = _form_letters() if bounded else rests(_form_letters())
+        return F.when(
+            F.size(at) > 0,
+            _bound(seen, lambda s: F.transform(
+                at, lambda n: F.struct(n.alias("line_no"), verdict(s, n).alias("saw"))
+            )),
+        )
+
+    open_forms = F.filter(_bound(forms, judged), lambda f: f["saw"] != "T")
 
     def report(f: Column) -> Column:
-        writes = reached(f["write"], f["end"])
+        writes = f["saw"] == "W"
         return _candidate(
             f["line_no"],
             F.when(writes, F.lit(_FORM_WRITE)).otherwise(F.lit(_FORM)),
@@ -147,7 +183,10 @@ def unprotected_forms() -> Column:
             F.lit(None),
         )
 
-    return F.transform(open_forms, report)
+    return F.coalesce(
+        F.transform(open_forms, report),
+        F.array().cast("array<struct<line_no: int, rule: int, match: string, description: string>>"),
+    )
 
 
 def incomplete_logout() -> Column:

@@ -287,7 +287,7 @@ def all_candidates(book: RuleBook, settings: ScanSettings) -> Column:
     n = settings.context_lines
     found = [
         (PASS_RACE, detectors.check_then_use()),
-        (PASS_FORM, detectors.unprotected_forms()),
+        (PASS_FORM, detectors.unprotected_forms(settings.form_reach)),
         (PASS_LOGOUT, detectors.incomplete_logout()),
         (PASS_HEADERS, detectors.missing_headers()),
     ]

@@ -30,7 +30,7 @@ def test_check_then_use(spark, make_files):
 
 
 def test_forms(spark, make_files):
-    form = "<form method='post'>"
+    form, other = "<form method='post'>", "<form-group>"
     files = make_files(
         "\n".join([form, "x", "<input name=csrf></form>"]),
         "\n".join([form, "</form>", "csrf"]),
@@ -39,10 +39,40 @@ def test_forms(spark, make_files):
         "\n".join([form] + ["x"] * 29 + ["csrf"]),
         form + " csrf",
         "\n".join([form, "</form> INSERT"]),
+        "\n".join([form, other, "csrf"]),  # what looks like another form does not end this one
+        "\n".join([form, other, "INSERT"]),
+        "\n".join([form, "x", form, "csrf", "</form>"]),
     )
-    assert [(f, r) for f, _, r, _ in _found(files, D.unprotected_forms())] == [
-        ("1", "CSRF-003"), ("2", "CSRF-002"), ("3", "CSRF-003"), ("5", "CSRF-003"), ("6", "CSRF-002"),
-    ]
+    expected = {
+        30: [("1", "CSRF-003"), ("2", "CSRF-002"), ("3", "CSRF-003"), ("5", "CSRF-003"), ("6", "CSRF-002"), ("8", "CSRF-002")],
+        None: [("1", "CSRF-003"), ("2", "CSRF-002"), ("5", "CSRF-003"), ("6", "CSRF-002"), ("8", "CSRF-002")],
+    }
+    for reach, rows in expected.items():
+        assert [(f, r) for f, _, r, _ in _found(files, D.unprotected_forms(reach))] == rows
+
+
+def test_forms_against_reading_line_by_line(spark, make_files):
+    rng = random.Random(9)
+    kinds = ["<FORM id=a method = \"POST\">", "INSERT", "</form>", "x", "x", "csrf", "</form> ->save", "<form>"]
+    texts = [[rng.choice(kinds) for _ in range(rng.randint(1, 60))] for _ in range(9)]
+    for reach in (30, 3, None):
+        wanted = []
+        for n, lines in enumerate(texts):
+            for i, line in enumerate(lines):
+                if not re.search(D.M.POST_FORM, line):
+                    continue
+                token = write = False
+                for after in lines[i + 1 :][:reach]:
+                    token = token or "csrf" in after
+                    if token:
+                        break
+                    write = write or bool(re.search(D.M.STATE_CHANGE, after))
+                    if "</form>" in after:
+                        break
+                if not token:
+                    wanted.append((str(n), i + 1, "CSRF-002" if write else "CSRF-003"))
+        files = make_files(*["\n".join(t) for t in texts])
+        assert [f[:3] for f in _found(files, D.unprotected_forms(reach))] == wanted
 
 
 def test_logout_and_headers(spark, make_files):
