@@ -158,6 +158,34 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def relative_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus with paths relative to their project; some paths are in several projects."""
+    return all_files(spark, sf_dir).withColumn("path", F.substr("path", F.length("project") + 2))
+
+
+def scan_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration files that act on a scan: at the root, in src and in src/m1 of some projects."""
+    n = F.col("n_nationkey")
+    name = lambda rank: F.element_at(F.array(*[F.lit(x) for x in (" High ", "medium", "", "LOW")]), rank + 1)
+    root = F.concat(
+        F.lit('{"min_severity":"'), name(n % 4), F.lit('","disabled_rules":["xss-004"],"context_lines":'),
+        (n % 5).cast("string"), F.lit("}"),
+    )
+    src = F.lit('{"exclude_patterns":["src/m2/*","*.module","[^a-f]?.php"],"disabled_rules":["INFO-007"]}')
+    deep = F.lit(
+        '{"min_severity":"critical","disabled_rules":[" sql-005 "],"exclude_patterns":["f1*"],"show_suppressed":true}'
+    )
+    rows = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("p"), n.cast("string")).alias("project"), n.alias("n"),
+        F.inline(F.array(
+            F.struct(F.lit("").alias("at"), root.alias("content"), (n % 3 != 1).alias("there")),
+            F.struct(F.lit("src/").alias("at"), src.alias("content"), (n % 5 == 2).alias("there")),
+            F.struct(F.lit("src/m1/").alias("at"), deep.alias("content"), (n % 2 == 0).alias("there")),
+        )),
+    )
+    return rows.where("there").select("project", F.concat("at", F.lit(CONFIG_NAME)).alias("path"), "content")
+
+
 def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One custom rule file per part; some incomplete, some not JSON."""
     k = F.col("p_partkey")

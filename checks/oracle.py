@@ -416,6 +416,22 @@ SELECT project, CASE kind WHEN 0 THEN 'laravel' WHEN 1 THEN 'wordpress' WHEN 2 T
     WHEN 3 THEN 'codeigniter' ELSE 'laravel' END AS name,
   CASE kind WHEN 0 THEN '^10.0' WHEN 1 THEN '' WHEN 2 THEN '6.*' WHEN 3 THEN '4.1' ELSE '^9' END AS version
 FROM manifests WHERE kind < 5"""
+CTES["scan_cfg"] = """
+SELECT 'p' || n_nationkey AS project, '' AS cfg_dir, CASE n_nationkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS least,
+  'XSS-004' AS off, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey % 5 ELSE 3 END AS ctx, false AS shows
+FROM nation WHERE n_nationkey % 3 <> 1
+UNION ALL SELECT 'p' || n_nationkey, 'src', 1, 'INFO-007', 3, false FROM nation WHERE n_nationkey % 5 = 2
+UNION ALL SELECT 'p' || n_nationkey, 'src/m1', 4, 'SQL-005', 3, true FROM nation WHERE n_nationkey % 2 = 0"""
+CTES["file_cfg"] = """
+SELECT f.project, f.path, f.n_lines, substr(f.path, length(f.project) + 2) AS rel, max(c.cfg_dir) AS cfg_dir
+FROM (SELECT project, path, count(*) AS n_lines FROM lines GROUP BY ALL) f LEFT JOIN scan_cfg c ON c.project = f.project
+  AND (c.cfg_dir = '' OR starts_with(f.path, f.project || '/' || c.cfg_dir || '/')) GROUP BY ALL"""
+CTES["configured"] = """
+SELECT f.*, coalesce(least, 1) AS least, coalesce(off, '') AS off, coalesce(ctx, 3) AS ctx, coalesce(shows, false) AS shows
+FROM file_cfg f LEFT JOIN scan_cfg c ON c.project = f.project AND c.cfg_dir = f.cfg_dir
+WHERE NOT coalesce((f.cfg_dir = 'src' AND (contains(rel, 'src/m2/') OR contains(rel, '.module')
+    OR regexp_matches(rel, '(^|/)[^/a-f][^/][.]php$') OR contains(rel, '[^a-f]?.php')))
+  OR (f.cfg_dir = 'src/m1' AND (regexp_matches(rel, '(^|/)f1[^/]*$') OR contains(rel, 'f1'))), false)"""
 CTES["every_rule"] = rules_cte(EVERY_RULE)
 CTES["applied"] = """
 SELECT p.project, r.* FROM (SELECT DISTINCT project FROM all_files) p
@@ -710,6 +726,16 @@ WHERE v.visible IS NOT NULL AND NOT (r.category = {q(X.PREPARE_CATEGORY)} AND co
             true AS json_output, false AS sarif_output, false AS show_suppressed,
             CASE WHEN depth = 0 AND n % 3 = 2 THEN 1 ELSE 0 END AS concurrency,
             CASE WHEN depth = 1 AND n % 5 > 0 THEN n % 5 ELSE 3 END AS context_lines FROM nearest""",
+        "scan_by_config": """
+SELECT project, rel AS path, line_no, category, rule_id, severity, confidence, any_suppressed AS suppressed,
+  CASE WHEN pass_ord = 6 THEN 0 ELSE least(line_no - 1, ctx) END AS n_before,
+  CASE WHEN pass_ord = 6 THEN 0 ELSE least(n_lines - line_no, ctx) END AS n_after
+FROM (SELECT *, row_number() OVER (PARTITION BY path, line_no, category
+    ORDER BY confidence DESC, is_taint DESC, severity DESC, pass_ord, emit_ord) AS place,
+    bool_or(suppressed) OVER (PARTITION BY path, line_no, category) AS any_suppressed
+  FROM united JOIN configured USING (project, path)
+  WHERE pass_ord <> 1 OR (severity >= least AND rule_id <> off))
+WHERE place = 1 AND (shows OR NOT any_suppressed)""",
         "custom_rules": """
 SELECT 'yaml:part' || k || '.json' AS source, 0 AS rule_no, pattern_no, 'PART-' || k AS rule_id, p_type AS category,
   CASE k % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 0 ELSE 1 END AS severity, 'CWE-1' AS cwe,

@@ -12,7 +12,7 @@ from riskloom.operators import (
     report as R, sanitize, summary as S, taint,
 )
 from riskloom.plans.incremental import incremental_scan as scan_changes
-from riskloom.plans.scan import raw_findings, scan
+from riskloom.plans.scan import raw_findings, scan, scan_by_config as scan_configured
 from riskloom.rules import custom, exemptions as X
 from riskloom.rules.convert import convert_rules
 from riskloom.rules.ruleset import (
@@ -484,6 +484,17 @@ def config_merge(spark, sf):
     )
 
 
+def scan_by_config(spark, sf):
+    """One scan of all projects, each directory under its own configuration file."""
+    found = scan_configured(
+        C.relative_files(spark, sf), conf.config_files(C.scan_configs(spark, sf)), settings=PLAIN
+    )
+    return found.select(
+        "project", "path", "line_no", "category", "rule_id", "severity", "confidence", "suppressed",
+        F.size("context_before").alias("n_before"), F.size("context_after").alias("n_after"),
+    )
+
+
 def custom_rules(spark, sf):
     rows = custom.parse_rule_files(C.rule_files(spark, sf))
     return rows.select(
@@ -542,7 +553,7 @@ QUERIES = {
         (None, pack_findings),
         (None, fingerprint), (None, baseline_new), (None, baseline_fixed), (None, baseline_saved),
         (None, incremental_changed), (None, incremental_reused), (None, incremental_scan), (None, rules_hash),
-        (None, framework_detect), (None, rule_packs), (None, config_nearest), (None, config_merge),
+        (None, framework_detect), (None, rule_packs), (None, config_nearest), (None, config_merge), (None, scan_by_config),
         (None, custom_rules), ("convert_rules", convert_ext_rules),
         (None, exclude_filter), (None, ext_filter), (None, dir_prune),
     ]

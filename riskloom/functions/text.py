@@ -91,3 +91,32 @@ def glob_to_regex(pattern: str) -> str | None:
             out.append(re.escape(ch))
         i += 1
     return "^" + "".join(out) + "$"
+
+
+def glob_regex(pattern: Column) -> Column:
+    """:func:`glob_to_regex` for globs that are data; NULL for a malformed one."""
+    tokens = F.regexp_extract_all(pattern, F.lit(r"(?s)\[.[^\]]*\]|\\.|."), F.lit(0))
+    plain = lambda t: F.regexp_replace(t, r"([\x00-/:-@\[-^`{-\x7f])", r"\\$1")
+
+    def translated(t: Column) -> Column:
+        body = F.substr(t, F.lit(2), F.length(t) - 2)
+        negated = F.startswith(body, F.lit("^"))
+        inner = F.replace(F.replace(
+            F.when(negated, F.substr(body, F.lit(2))).otherwise(body), F.lit("["), F.lit("\\[")
+        ), F.lit("&"), F.lit("\\&"))
+        whole = F.length(t) > 1
+        return (
+            F.when(t == "*", F.lit("[^/]*")).when(t == "?", F.lit("[^/]"))
+            .when(F.startswith(t, F.lit("[")) & whole, F.concat(
+                F.lit("["), F.when(negated, F.lit("^/")).otherwise(F.lit("")), inner, F.lit("]")
+            ))
+            .when(F.startswith(t, F.lit("\\")) & whole, plain(F.substr(t, F.lit(2))))
+            .when(t.isin("[", "\\"), F.lit(None).cast("string"))
+            .otherwise(plain(t))
+        )
+
+    parts = F.transform(tokens, translated)
+    return F.when(
+        ~F.exists(parts, lambda t: t.isNull()),
+        F.concat(F.lit("^"), F.array_join(parts, ""), F.lit("$")),
+    )

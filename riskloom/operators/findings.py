@@ -61,11 +61,10 @@ def shown_context(context: Column) -> Column:
     )
 
 
-def nearest(context: Column, count: int) -> Column:
+def nearest(context: Column, count: int | Column) -> Column:
     """The last ``count`` entries of a context array."""
-    return F.slice(
-        context, F.greatest(F.size(context) - count, F.lit(0)) + 1, F.lit(count)
-    )
+    count = F.lit(count) if isinstance(count, int) else count
+    return F.slice(context, F.greatest(F.size(context) - count, F.lit(0)) + 1, count)
 
 
 # -- candidates ------------------------------------------------------------------
@@ -207,10 +206,14 @@ def exploded(df: DataFrame, candidates: Column) -> DataFrame:
     )
 
 
-def judged(candidates: DataFrame, book: RuleBook, settings: ScanSettings) -> DataFrame:
+def judged(
+    candidates: DataFrame, book: RuleBook, settings: ScanSettings, context_lines: Column | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
     """Exemptions, sanitizers, suppression and confidence; gives findings columns.
 
-    The extra column ``pack`` names the framework a pack rule belongs to.
+    The extra column ``pack`` names the framework a pack rule belongs to.  ``context_lines`` is
+    for candidates with different settings, ``keep`` names columns to pass on.
     """
     is_rule = F.col("pass_ord") == PASS_RULES
     df = candidates.withColumn("r", book.lookup(F.col("rule_ord")))
@@ -248,7 +251,7 @@ def judged(candidates: DataFrame, book: RuleBook, settings: ScanSettings) -> Dat
         match.confidence(F.col("text"), F.col("rule_id"), F.col("severity"), near),
     )
     func = F.coalesce("near_func", "file_func")
-    count = settings.context_lines
+    count = F.lit(settings.context_lines) if context_lines is None else context_lines
     return df.select(
         *finding_row(
             confidence=confidence,
@@ -267,11 +270,13 @@ def judged(candidates: DataFrame, book: RuleBook, settings: ScanSettings) -> Dat
             sanitizer_func=F.coalesce(func, F.lit("")),
             is_taint=F.col("pass_ord") == PASS_TAINT,
             context_before=shown_context(nearest(F.col("before"), count)),
-            context_after=shown_context(F.col("after")),
+            context_after=shown_context(
+                F.col("after") if context_lines is None else F.slice("after", F.lit(1), count)
+            ),
             flow_steps=F.col("steps"),
             emit_ord=F.col("emit_ord"),
         ),
-        "pack",
+        "pack", *keep,
     )
 
 

@@ -8,7 +8,8 @@ from riskloom.model import ScanSettings
 from riskloom.operators import findings as O
 from riskloom.operators.lines import with_lines
 from riskloom.rules.ruleset import all_rules, select_rules
-from riskloom.sources.corpus import scannable
+from riskloom.sources.corpus import excluded_by, scannable
+from riskloom.sources.settings import directory_of, directory_settings, rule_is_on
 
 
 def raw_findings(
@@ -50,3 +51,32 @@ def scan(
     chosen = scannable(files, settings.exclude_patterns)
     found = O.deduplicated(raw_findings(chosen, settings, frameworks))
     return O.visible_findings(found, settings.show_suppressed)
+
+
+def scan_by_config(
+    files: DataFrame, configs: DataFrame, given: dict | None = None,
+    settings: ScanSettings = ScanSettings(), frameworks: DataFrame | None = None,
+) -> DataFrame:
+    """One scan of many projects, each directory under its nearest configuration file.
+
+    ``configs`` as from :func:`riskloom.sources.settings.config_files`; ``given`` holds options that win
+    over every file.  All rules are matched in one pass over the contents.  What leaves it, the
+    candidates, meets the settings of its directory: rules that are on, excluded paths, context, and
+    whether suppressed findings show.  One number goes to the driver, the widest context asked for.
+    """
+    use_packs = settings.framework_packs and frameworks is not None
+    rules = all_rules(settings.but(framework_packs=use_packs))
+    book = O.RuleBook(rules)
+    chosen = scannable(files)
+    own = directory_settings(chosen, configs, rules, given)
+    widest = own.agg(F.max("context_lines")).first()[0] or settings.context_lines
+    wide = settings.but(context_lines=widest)
+    df = O.file_columns(with_lines(chosen), rules, wide)
+    candidates = O.exploded(df, O.all_candidates(book, wide)).withColumn("dir", directory_of())
+    is_rule = F.col("pass_ord") == O.PASS_RULES
+    kept = candidates.join(own, ["project", "dir"]).where(
+        ~excluded_by(F.col("path"), F.col("excludes")) & (~is_rule | rule_is_on(F.col("rules_on"), F.col("rule_ord")))
+    )
+    found = O.judged(kept, book, wide, F.col("context_lines"), keep=("show_suppressed",))
+    found = keep_own_packs(found, frameworks) if use_packs else found.drop("pack")
+    return O.deduplicated(found).where(~F.col("suppressed") | F.col("show_suppressed")).drop("show_suppressed")

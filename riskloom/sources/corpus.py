@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskloom.functions.text import base_name, extension, glob_to_regex
+from riskloom.functions.text import base_name, extension, glob_regex, glob_to_regex
 from riskloom.model import LARGE_FILE_BYTES
 from riskloom.rules.exemptions import SCANNED_EXTENSIONS, SKIPPED_DIRS
 
@@ -32,6 +32,27 @@ def is_excluded(path: Column, patterns) -> Column:
     return excluded
 
 
+def excluded_by(path: Column, patterns: Column) -> Column:
+    """:func:`is_excluded` for an array of ``(regex, part)``, see :func:`compiled_globs`."""
+    name = base_name(path)
+    return F.exists(
+        patterns,
+        lambda p: F.coalesce(F.rlike(path, p["regex"]) | F.rlike(name, p["regex"]), F.lit(False))
+        | F.contains(path, p["part"]),
+    )
+
+
+def compiled_globs(patterns: Column) -> Column:
+    """Exclude patterns that are data, as regular expressions and the text that is enough to contain."""
+    return F.transform(
+        patterns,
+        lambda p: F.struct(
+            glob_regex(p).alias("regex"),
+            F.regexp_replace(F.regexp_replace(p, r"\*$", ""), r"^\*", "").alias("part"),
+        ),
+    )
+
+
 def scannable(files: DataFrame, exclude_patterns=()) -> DataFrame:
     """Files a scan looks at.  Uses the path only."""
     path = F.col("path")
