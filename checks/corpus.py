@@ -208,6 +208,39 @@ def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule file per benchmark item, a rule per word of its text; some of them are not valid."""
+    k = F.col("item_id")
+
+    def rule(p):
+        word = lambda n: F.get("w", p + n)
+        pattern = (
+            F.when(p % 5 == 0, F.concat(F.lit(r"(?i)\b"), word(0), F.lit(r"\s+"), word(1), F.lit(r"\b")))
+            .when(p % 5 == 1, F.concat(word(0), F.lit("[a-z]*[^a-z]+("), word(1), F.lit("|"), word(2), F.lit(")")))
+            .when((p % 5 == 2) & (k % 3 == 0), F.concat(F.lit("(?="), word(1), F.lit(")")))
+            .when(p % 5 == 2, F.concat(word(1), F.lit("(")))
+            .when((p == 3) & (k % 10 == 7), F.concat(F.lit(r"\$v"), (k % 5).cast("string"), F.lit(r"\s*=.*\$_(GET|POST)")))
+            .when(p % 5 == 3, F.concat(F.lit("(x"), word(2), F.lit(")?"), word(0), F.lit("{1,2} "), word(1)))
+            .when((p == 4) & (k % 20 == 9), F.lit(r"^[A-Z][0-9]{3}\b"))
+            .otherwise(F.concat(F.lit(r"\Q"), word(0), F.lit(" "), word(1), F.lit(r"\E")))
+        )
+        severity = F.element_at(F.array(F.lit("high"), F.lit("Medium"), F.lit("low"), F.lit("info")), (p % 4 + 1).cast("int"))
+        return F.struct(
+            F.concat(F.lit("ITEM"), k.cast("string"), F.lit("-"), p.cast("string")).alias("id"),
+            F.when((p == 3) & (k % 10 == 7), F.lit("SQL Injection"))
+            .otherwise(F.concat(F.lit("Words "), (p % 2).cast("string"))).alias("category"),
+            severity.alias("severity"), F.array(pattern).alias("patterns"),
+        )
+
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where(F.size("w") >= 4)
+    rules = F.transform(F.sequence(F.lit(0), F.size("w") - 4), rule)
+    return items.select(
+        F.concat(F.lit("rules/b"), k.cast("string"), F.lit(".json")).alias("path"),
+        F.to_json(F.struct(rules.alias("rules"))).alias("content"),
+    )
+
+
 def external_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule of a structural matcher per part."""
     k = F.col("p_partkey")

@@ -123,6 +123,19 @@ UNION ALL SELECT 'documents', 'documents/' || doc_id || '.inc', text FROM docume
 UNION ALL SELECT 'pages', 'pages/' || page_id || '.phtml', html FROM pages
 UNION ALL SELECT 'conversations', 'conversations/' || conv_id || '-' || turn || '.inc', text FROM conversations
 UNION ALL SELECT 'benchmark', 'benchmark/' || item_id || '.inc', text FROM benchmark"""
+CTES["doc_rule"] = r"""
+SELECT 'b' || k || '.json' AS file, 'ITEM' || k || '-' || p AS rule_id, p, kind,
+  CASE WHEN kind = 5 THEN 'SQL Injection' ELSE 'Words ' || p % 2 END AS category,
+  CASE p % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS severity,
+  CASE kind WHEN 0 THEN '(?i)\b' || a || '\s+' || b || '\b' WHEN 1 THEN a || '[a-z]*[^a-z]+(' || b || '|' || c || ')'
+    WHEN 2 THEN CASE WHEN k % 3 = 0 THEN '(?=' || b || ')' ELSE b || '(' END
+    WHEN 3 THEN '(x' || c || ')?' || a || '{1,2} ' || b WHEN 4 THEN '\Q' || a || ' ' || b || '\E'
+    WHEN 5 THEN '\$v' || k % 5 || '\s*=.*\$_(GET|POST)' ELSE '^[A-Z][0-9]{3}\b' END AS pattern,
+  CASE kind WHEN 5 THEN '$_' WHEN 6 THEN '' WHEN 4 THEN lower(a || ' ' || b) WHEN 3 THEN lower(a) ELSE lower(a) END AS part
+FROM (SELECT k, p, w[p + 1] AS a, w[p + 2] AS b, w[p + 3] AS c,
+    CASE WHEN p = 3 AND k % 10 = 7 THEN 5 WHEN p = 4 AND k % 20 = 9 THEN 6 ELSE p % 5 END AS kind
+  FROM (SELECT k, w, unnest(range(0, len(w) - 3)) AS p FROM (
+    SELECT item_id AS k, regexp_extract_all(text, '[A-Za-z]+') AS w FROM benchmark) WHERE len(w) >= 4))"""
 _skipped = "(^|/)(" + "|".join(d.replace(".", "\\.") for d in X.SKIPPED_DIRS) + ")/"
 _ext = "lower(regexp_extract(path, '(\\.[^./]*)$', 1))"
 CTES["files"] = f"""
@@ -170,6 +183,18 @@ SELECT project, path, line_no, text, st, CASE WHEN r1 IS NULL OR (st = 1 AND {tr
 
 CTES["rules"] = rules_cte(RULES)
 CTES["hits"] = hits_cte(RULES)
+CTES["low_scan"] = "SELECT *, lower(text) AS low FROM scan"
+CTES["doc_pair"] = """
+SELECT l.project, l.path, l.line_no, l.text, l.low, r.* FROM low_scan l
+JOIN (SELECT *, row_number() OVER (ORDER BY 'rules/' || file, p) AS rule_ord FROM doc_rule WHERE kind <> 2) r
+  ON contains(l.low, r.part) WHERE r.severity >= 1"""
+CTES["doc_hit"] = f"""
+SELECT project, path, line_no, text, rule_ord, {{match}} AS match, {{pos}} AS pos,
+  rule_id, category, severity, '' AS cwe, '' AS description, '' AS recommendation, 'yaml:' || file AS source, '' AS pack,
+  pattern, {ex('match', VAR)} AS variable, low
+FROM doc_pair WHERE regexp_matches(text, pattern)""".replace(
+    "{match}", "regexp_extract(text, pattern)"
+).replace("{pos}", "length(regexp_extract(text, '(?s)^(.*?)(?:' || pattern || ')', 1)) + 1")
 CTES["hit_rules"] = f"""
 SELECT h.*, r.* EXCLUDE (rule_ord), {ex('match', VAR)} AS variable, lower(text) AS low
 FROM hits h JOIN rules r USING (rule_ord)"""
@@ -450,8 +475,16 @@ FROM targets t LEFT JOIN configs c ON c.project = t.project AND (t.dir = c.confi
 GROUP BY ALL"""
 
 
-def with_ctes(body: str) -> str:
-    """``body`` preceded by the named queries it uses, in order of definition."""
+def with_ctes(body: str, instead: dict[str, str] | None = None) -> str:
+    """``body`` preceded by the named queries it uses, in order of definition; some may be replaced."""
+    if instead:
+        own = CTES.copy()
+        try:
+            CTES.update(instead)
+            return with_ctes(body)
+        finally:
+            CTES.clear()
+            CTES.update(own)
     names = {key.split()[-1]: key for key in CTES}
     needed, todo = set(), [body]
     while todo:
@@ -746,4 +779,13 @@ FROM (SELECT p_partkey AS k, *, unnest([0, 1]) AS pattern_no FROM part WHERE p_p
         "ext_filter": f"SELECT path, {_ext} AS ext FROM all_files WHERE {_ext} IN {in_list(X.SCANNED_EXTENSIONS)}",
         "dir_prune": f"SELECT path FROM all_files WHERE NOT {rx('path', _skipped)}",
     }
-    return {name: with_ctes(body) for name, body in bodies.items()}
+    own_rules = """SELECT project, path, line_no, category, rule_id, severity, confidence, any_suppressed AS suppressed,
+          sanitizer_func, md5(match_text) AS match_md5, least(line_no - 1, 3) AS n_before
+        FROM (SELECT *, row_number() OVER (PARTITION BY path, line_no, category ORDER BY confidence DESC, severity DESC, rule_ord) AS place,
+          bool_or(suppressed) OVER (PARTITION BY path, line_no, category) AS any_suppressed FROM judged) WHERE place = 1"""
+    bodies["custom_rejected"] = """SELECT 'yaml:' || file AS source, rule_id, pattern,
+        CASE WHEN starts_with(pattern, '(?=') THEN 'look-around or atomic group' ELSE 'not a valid pattern' END AS reason
+        FROM doc_rule WHERE kind = 2"""
+    out = {name: with_ctes(body) for name, body in bodies.items()}
+    out["custom_findings"] = with_ctes(own_rules, {"hit_rules": CTES["doc_hit"]})
+    return out

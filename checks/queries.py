@@ -12,7 +12,7 @@ from riskloom.operators import (
     report as R, sanitize, summary as S, taint,
 )
 from riskloom.plans.incremental import incremental_scan as scan_changes
-from riskloom.plans.scan import raw_findings, scan, scan_by_config as scan_configured
+from riskloom.plans.scan import raw_findings, scan, scan_by_config as scan_configured, scan_custom
 from riskloom.rules import custom, exemptions as X
 from riskloom.rules.convert import convert_rules
 from riskloom.rules.ruleset import (
@@ -495,6 +495,21 @@ def scan_by_config(spark, sf):
     )
 
 
+def custom_findings(spark, sf):
+    """A scan with a rule set that grows with the corpus."""
+    rules = custom.parse_rule_files(C.scan_rule_files(spark, sf))
+    found = scan_custom(C.all_files(spark, sf), rules, PLAIN.but(show_suppressed=True))
+    return found.select(
+        "project", "path", "line_no", "category", "rule_id", "severity", "confidence", "suppressed",
+        "sanitizer_func", F.md5("match_text").alias("match_md5"), F.size("context_before").alias("n_before"),
+    )
+
+
+def custom_rejected(spark, sf):
+    rules = custom.checked_table(custom.parse_rule_files(C.scan_rule_files(spark, sf)))
+    return rules.where("reason IS NOT NULL").select("source", "rule_id", "pattern", "reason")
+
+
 def custom_rules(spark, sf):
     rows = custom.parse_rule_files(C.rule_files(spark, sf))
     return rows.select(
@@ -554,7 +569,7 @@ QUERIES = {
         (None, fingerprint), (None, baseline_new), (None, baseline_fixed), (None, baseline_saved),
         (None, incremental_changed), (None, incremental_reused), (None, incremental_scan), (None, rules_hash),
         (None, framework_detect), (None, rule_packs), (None, config_nearest), (None, config_merge), (None, scan_by_config),
-        (None, custom_rules), ("convert_rules", convert_ext_rules),
+        (None, custom_rules), (None, custom_findings), (None, custom_rejected), ("convert_rules", convert_ext_rules),
         (None, exclude_filter), (None, ext_filter), (None, dir_prune),
     ]
 }

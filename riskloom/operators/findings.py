@@ -25,7 +25,7 @@ from riskloom.rules.multiline import FILE_LEVEL_TEXT
 PASS_RULES, PASS_TAINT, PASS_RACE, PASS_FORM, PASS_LOGOUT, PASS_HEADERS = range(1, 7)
 
 # Gives each line its own range of positions in the emission order.
-_ORDER_STEP = 1_000_000
+ORDER_STEP = 1_000_000
 
 CANDIDATE_TYPE = (
     "ARRAY<STRUCT<pass_ord: INT, emit_ord: BIGINT, line_no: INT, rule_ord: INT, "
@@ -101,7 +101,7 @@ def rule_candidates(rules: list[Rule], context_lines: int, file_level: bool = Tr
         fields = {
             name: h[name] for name in ("line_no", "rule_ord", "match", "pos", "in_comment", "text")
         }
-        fields["emit_ord"] = h["line_no"].cast("bigint") * _ORDER_STEP + h["rule_ord"]
+        fields["emit_ord"] = h["line_no"].cast("bigint") * ORDER_STEP + h["rule_ord"]
         if file_level:
             fields["file_func"] = sanitize.file_level_sanitizer(
                 F.col("cleaned"),
@@ -140,7 +140,7 @@ def detector_candidates(
 ) -> Column:
     def build(d: Column) -> Column:
         fields = {
-            "emit_ord": d["line_no"].cast("bigint") * _ORDER_STEP + d["rule"],
+            "emit_ord": d["line_no"].cast("bigint") * ORDER_STEP + d["rule"],
             "line_no": d["line_no"],
             "rule_ord": d["rule"] + first_rule,
             "match": d["match"],
@@ -207,16 +207,17 @@ def exploded(df: DataFrame, candidates: Column) -> DataFrame:
 
 
 def judged(
-    candidates: DataFrame, book: RuleBook, settings: ScanSettings, context_lines: Column | None = None,
+    candidates: DataFrame, book: RuleBook | None, settings: ScanSettings, context_lines: Column | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Exemptions, sanitizers, suppression and confidence; gives findings columns.
 
     The extra column ``pack`` names the framework a pack rule belongs to.  ``context_lines`` is
-    for candidates with different settings, ``keep`` names columns to pass on.
+    for candidates with different settings, ``keep`` names columns to pass on.  Without a book
+    the candidates carry their rule as ``r``.
     """
     is_rule = F.col("pass_ord") == PASS_RULES
-    df = candidates.withColumn("r", book.lookup(F.col("rule_ord")))
+    df = candidates if book is None else candidates.withColumn("r", book.lookup(F.col("rule_ord")))
     df = df.select("*", "r.rule_id", "r.category", "r.severity", "r.cwe", "r.source", "r.pack")
     df = computed_once(
         with_visible_part(df).withColumnRenamed("visible", "_visible"),

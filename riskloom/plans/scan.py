@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.model import ScanSettings
 from riskloom.operators import findings as O
+from riskloom.operators.custom_match import code_lines, custom_candidates, custom_hits
 from riskloom.operators.lines import with_lines
+from riskloom.rules.custom import checked_table, rule_index
 from riskloom.rules.ruleset import all_rules, select_rules
 from riskloom.sources.corpus import excluded_by, scannable
 from riskloom.sources.settings import directory_of, directory_settings, rule_is_on
@@ -80,3 +82,22 @@ def scan_by_config(
     found = O.judged(kept, book, wide, F.col("context_lines"), keep=("show_suppressed",))
     found = keep_own_packs(found, frameworks) if use_packs else found.drop("pack")
     return O.deduplicated(found).where(~F.col("suppressed") | F.col("show_suppressed")).drop("show_suppressed")
+
+
+def scan_custom(
+    files: DataFrame, rule_rows: DataFrame, settings: ScanSettings = ScanSettings(),
+    frequencies: DataFrame | None = None,
+) -> DataFrame:
+    """Findings of custom rules alone; ``rule_rows`` as from :func:`riskloom.rules.custom.parse_rule_files`.
+
+    For rule sets of any size.  Rules that cannot be used are left out, see
+    :func:`riskloom.rules.custom.checked_table` for them and their reasons.
+    """
+    off = [rule_id.strip().upper() for rule_id in settings.disabled_rules]
+    checked = checked_table(rule_rows).where(
+        (F.col("severity") >= settings.min_severity) & ~F.upper("rule_id").isin(off)
+    )
+    lines = code_lines(scannable(files, settings.exclude_patterns), settings)
+    candidates = custom_candidates(custom_hits(lines, rule_index(checked, frequencies)))
+    found = O.judged(candidates, None, settings).drop("pack")
+    return O.visible_findings(O.deduplicated(found), settings.show_suppressed)
