@@ -7,7 +7,7 @@ rows are never sorted and a source of any size costs one aggregate with map-side
 of one source are nested: a larger budget keeps every row of a smaller one.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; rows with
-equal id and text share a hash and are taken or left together; an empty table gives no rows; more
+equal id and text share a hash, and where a budget ends among them as many are taken as fit best; an empty table gives no rows; more
 columns (also ones named as working columns) are not read.
 """
 
@@ -78,14 +78,15 @@ def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
 def _by_bucket(rows: DataFrame, shift: int) -> DataFrame:
     bucket = F.shiftright("hash", shift)
     return rows.groupBy("source", bucket.alias("bucket")).agg(
-        F.sum("size").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high")
+        F.sum("size").alias("n"), F.count("*").alias("rows"), F.min("hash").alias("low"), F.max("hash").alias("high")
     )
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """rows: source, size, hash.  budgets: source, rest.  Gives source, cut: take hash < cut.
+    """rows: source, size, hash.  budgets: source, rest.  Gives source, cut, copies, take.
 
-    The row at which the budget ends is taken if that brings the sum nearer.
+    Rows with hash < cut are taken, and `take` of the `copies` rows with hash = cut, which are equal: as many as bring
+    the sum nearest to the budget.
     """
     shift, inside, left, done = COARSE, rows, budgets, None
     while True:
@@ -100,8 +101,10 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         )
         ends = settled(ends)
         one = F.col("low") == F.col("high")
-        cut = F.col("low") + F.when(F.col("rest") * 2 >= F.col("n"), 1).otherwise(0)
-        found = ends.filter(one).select("source", cut.alias("cut"))
+        take = F.floor(F.col("rest") * F.col("rows") / F.col("n") + 0.5)
+        found = ends.filter(one).select(
+            "source", F.col("low").alias("cut"), F.col("rows").alias("copies"), take.cast("long").alias("take")
+        )
         done = found if done is None else done.unionByName(found)
         open_ends = ends.filter(~one).select("source", "bucket", "rest")
         if open_ends.isEmpty():
@@ -119,10 +122,11 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def _planned(
     documents: DataFrame, weights: Sequence[float], most_times: int, share: float,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, bool]:
     """Sizes and hashes of all rows; by source and hash bucket, what the mix does with them.
 
-    One row per source and bucket: rows of one large source find their plan by 1,024 keys.
+    One row per source and bucket: rows of one large source find their plan by 1,024 keys.  The
+    last value: whether some budget ends among equal rows.
     """
     rows = settled(
         documents.select("doc_id", "source", word_count().alias("size"), row_hash().alias("hash"))
@@ -139,21 +143,44 @@ def _planned(
     cuts = thresholds(rows, targets.filter("rest > 0").select("source", "rest"))
     plan = targets.join(
         cuts.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left"
-    ).select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
+    ).select(
+        "source", "source_size", "target", "whole",
+        # a single row at the end of the budget needs no counting
+        F.coalesce(F.col("cut") + F.when(F.col("copies") == 1, F.col("take")).otherwise(0), F.lit(0)).alias("cut"),
+        F.when(F.col("copies") > 1, F.col("cut")).alias("edge"), "take",
+    )
+    plan = settled(plan)
     spread = buckets.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"))
     keyed = spread.join(plan, F.col("_source").eqNullSafe(F.col("source"))).select(
         "_source", "_bucket", F.col("source_size").alias("_size"), F.col("target").alias("_target"),
-        F.col("whole").alias("_whole"), F.col("cut").alias("_cut"),
+        F.col("whole").alias("_whole"), F.col("cut").alias("_cut"), F.col("edge").alias("_edge"), F.col("take").alias("_take"),
     )
-    return rows, keyed
+    return rows, keyed, not plan.filter("edge IS NOT NULL").isEmpty()
 
 
-def _with_plan(rows: DataFrame, keyed: DataFrame, row_hash_: Column) -> DataFrame:
+def _with_plan(rows: DataFrame, keyed: DataFrame, row_hash_: Column, among_equal: bool) -> DataFrame:
     """rows with _times: how often the mix takes the row."""
     bucket = F.shiftright(row_hash_, COARSE)
-    return rows.join(
+    planned = rows.withColumn("_hash", row_hash_).join(
         keyed, F.col("source").eqNullSafe(F.col("_source")) & (bucket == F.col("_bucket"))
-    ).withColumn("_times", F.col("_whole") + (row_hash_ < F.col("_cut")).cast("long"))
+    )
+    below = planned.withColumn("_times", F.col("_whole") + (F.col("_hash") < F.col("_cut")).cast("long"))
+    if not among_equal:
+        return below
+    on_edge = F.coalesce(F.col("_hash") == F.col("_edge"), F.lit(False))
+    # Equal rows are counted inside the pieces they lie in, and the pieces are lined up: no task gets them all.
+    edge = settled(below.filter(on_edge).withColumn("_part", F.spark_partition_id()))
+    counts = edge.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(
+        F.col("_source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy("_source", "_part").orderBy("_hash")
+    numbered = edge.withColumn("_at", F.row_number().over(inside)).join(
+        before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))
+    )
+    taken = numbered.withColumn("_times", F.col("_times") + (F.col("_at") + F.col("_before") <= F.col("_take")).cast("long"))
+    return below.filter(~on_edge).unionByName(taken.select(*below.columns))
 
 
 def mix(
@@ -164,8 +191,8 @@ def mix(
 
     times: how often the mix takes the document; taken = times x size.
     """
-    rows, keyed = _planned(documents, weights, most_times, share)
-    return _with_plan(rows, keyed, F.col("hash")).select(
+    rows, keyed, among_equal = _planned(documents, weights, most_times, share)
+    return _with_plan(rows, keyed, F.col("hash"), among_equal).select(
         "doc_id", "source", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"),
         F.col("_times").alias("times"), (F.col("_times") * F.col("size")).alias("taken"),
     )
@@ -176,8 +203,8 @@ def mixed_documents(
     share: float = 1.0,
 ) -> DataFrame:
     """The documents of the mix, all columns; a document taken twice is there twice."""
-    _, keyed = _planned(documents, weights, most_times, share)
-    planned = _with_plan(documents, keyed, row_hash())
+    _, keyed, among_equal = _planned(documents, weights, most_times, share)
+    planned = _with_plan(documents, keyed, row_hash(), among_equal)
     return planned.filter("_times > 0").withColumn(
         "_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
     ).select(*documents.columns)
@@ -213,17 +240,17 @@ WITH RECURSIVE d AS (
 ), w AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t
 ), h AS (
-  SELECT source, hash, sum(size) AS n FROM d GROUP BY source, hash
+  SELECT source, hash, sum(size) AS n, count(*) AS copies FROM d GROUP BY source, hash
 ), c AS (
-  SELECT h.source, h.hash, n, target - whole * source_size AS rest,
+  SELECT h.source, h.hash, n, copies, target - whole * source_size AS rest,
     sum(n) OVER (PARTITION BY h.source ORDER BY h.hash) AS upto
   FROM h JOIN w ON h.source IS NOT DISTINCT FROM w.source
 ), cut AS (
-  SELECT source, max(hash + CASE WHEN 2 * (rest - (upto - n)) >= n THEN 1 ELSE 0 END) AS cut
-  FROM c WHERE rest > 0 AND upto > rest AND upto - n <= rest GROUP BY source
+  SELECT source, hash AS cut, floor((rest - (upto - n)) * copies / n + 0.5) AS take
+  FROM c WHERE rest > 0 AND upto > rest AND upto - n <= rest
 )
 SELECT d.doc_id, d.size, w.source_size, w.target,
-  d.size * (w.whole + CASE WHEN d.hash < coalesce(cut.cut, 0) THEN 1 ELSE 0 END)::BIGINT AS taken
-FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+  d.size * (w.whole + CASE WHEN d.hash < cut.cut OR (d.hash = cut.cut AND d.at_hash <= cut.take) THEN 1 ELSE 0 END)::BIGINT AS taken
+FROM (SELECT *, row_number() OVER (PARTITION BY source, hash) AS at_hash FROM d) d JOIN w ON d.source IS NOT DISTINCT FROM w.source
 LEFT JOIN cut ON d.source IS NOT DISTINCT FROM cut.source
 """

@@ -322,3 +322,17 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(language, "train", lambda texts, names: {"size": len(texts), "labels": Counter(names)})
     got = language.fit(docs, per_label=20)
     assert got["labels"] == {"en": 20, "de": 9}
+
+
+def test_mix_among_equal_rows(spark):
+    """A budget that ends among equal rows takes as many of them as fit; target 5,000 of 1,000 rows of size 10."""
+    from riskloom.llm.mixing import mix, mixed_documents
+
+    rows = [(1, "w " * 10, "a")] * 1000 + [(n + 2, "v " * 10, "b") for n in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for weights in ((1, 2), (3, 1), (7, 5)):
+        got = mix(docs, weights).groupBy("source").agg({"target": "max", "taken": "sum", "size": "max"}).collect()
+        assert all(abs(r["max(target)"] - r["sum(taken)"]) <= r["max(size)"] / 2 for r in got), got
+        taken = {r["source"]: r["sum(taken)"] // 10 for r in got}
+        kept = mixed_documents(docs, weights).groupBy("source").count().collect()
+        assert {r["source"]: r["count"] for r in kept} == taken
