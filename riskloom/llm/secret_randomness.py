@@ -45,12 +45,44 @@ ALPHABETS = (
     ("base64", UPPER + LOWER + DIGITS + "+/"),
 )
 LENGTH_STEP, LENGTH_CLASSES = 8, 9
-BUCKETS = 100
+BUCKETS, BLOCK = 100, 64
 MOST_FALSE, LEAST_P = 0.05, 0.01
 #: Among so many random tokens, one more in the lower half is within MOST_FALSE.
 LEAST_TOKENS = 40
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, zero: int, combine) -> Column:
+    """combine() of all values up to each place, itself included.
+
+    In blocks: appending to an array copies it, so one scan over all places would be quadratic.
+    """
+    empty = F.array().cast("array<int>")
+    scan = lambda block, first, out: F.aggregate(
+        block, F.struct(first.alias("at"), empty.alias("all")),
+        lambda s, x: F.struct(
+            combine(s["at"], x).alias("at"), F.concat(s["all"], F.array(out(s["at"], combine(s["at"], x)))).alias("all")
+        ),
+        lambda s: s["all"],
+    )
+    start = F.lit(zero).cast("int")
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, start, combine))
+        carried = scan(totals, start, lambda before, after: before)
+        return F.flatten(F.zip_with(blocks, carried, lambda block, first: scan(block, first, lambda before, after: after)))
+
+    def cut(array: Column) -> Column:
+        last = F.floor(F.greatest(F.size(array) - 1, F.lit(0)) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda n: F.slice(array, n * BLOCK + 1, F.lit(BLOCK)))
+
+    return _bound(values, lambda array: _bound(cut(array), of_blocks))
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """start, end, value (of `group`) of all matches, leftmost and non-overlapping, in code points."""
     found = F.zip_with(
@@ -59,20 +91,52 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
         lambda whole, value: F.struct(F.length(whole).alias("size"), value.alias("value")),
     )
     gaps = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
+
+    def placed(pairs: Column) -> Column:  # the last one is the rest behind all matches
+        ends = _running(F.transform(pairs, lambda x: x["gap"] + x["size"]), 0, lambda a, b: a + b)
+        every = F.zip_with(
+            pairs, ends,
+            lambda x, end: F.struct((end - x["size"]).alias("start"), end.alias("end"), x["value"].alias("value")),
+        )
+        return F.slice(every, F.lit(1), F.size(every) - 1)
+
+    pairs = F.zip_with(
+        gaps, found,
+        lambda gap, match: F.struct(
+            gap.alias("gap"), F.coalesce(match["size"], F.lit(0)).alias("size"), match["value"].alias("value")
+        ),
+    )
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(text.rlike(pattern), _bound(pairs, placed)).otherwise(empty)
+
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        one = F.struct(
-            start.alias("start"), (start + x["match"]["size"]).alias("end"), x["match"]["value"].alias("value")
+def _apart(tokens: Column, base: Column) -> Column:
+    """tokens (start, end, t; sorted, disjoint) that overlap no span of base; one sweep over both, sorted by start."""
+    event = lambda x, token: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), token.alias("t")
+    )
+    nothing = F.lit(None).cast("struct<encoding:int,plain:string>")
+    events = F.array_sort(
+        F.concat(F.transform(tokens, lambda x: event(x, x["t"])), F.transform(base, lambda x: event(x, nothing))),
+        lambda a, b: a["start"] - b["start"],
+    )
+
+    def swept(every: Column) -> Column:
+        far = F.lit(2**31 - 1)
+        reach = _running(F.transform(every, lambda x: F.when(x["t"].isNull(), x["end"]).otherwise(0)), 0, lambda a, b: F.greatest(a, b))
+        backwards = F.transform(F.reverse(every), lambda x: F.when(x["t"].isNull(), x["start"]).otherwise(far))
+        ahead = F.reverse(_running(backwards, 2**31 - 1, lambda a, b: F.least(a, b)))
+        clear = F.zip_with(
+            F.zip_with(every, reach, lambda e, r: F.struct(e.alias("e"), r.alias("reach"))), ahead,
+            lambda x, following: F.when(
+                x["e"]["t"].isNotNull() & (x["reach"] <= x["e"]["start"]) & (following >= x["e"]["end"]), x["e"]
+            ),
         )
-        more = F.when(x["match"].isNotNull(), F.concat(state["all"], F.array(one))).otherwise(state["all"])
-        return F.struct((start + F.coalesce(x["match"]["size"], F.lit(0))).alias("at"), more.alias("all"))
+        return F.filter(clear, lambda x: x.isNotNull())
 
-    pairs = F.zip_with(gaps, found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), empty.alias("all"))
-    all_spans = F.aggregate(pairs, start, add, lambda s: s["all"])
-    return F.when(text.rlike(pattern), all_spans).otherwise(empty)
+    return F.when(F.size(tokens) > 0, _bound(events, swept)).otherwise(
+        F.array().cast("array<struct<start:int,end:int,t:struct<encoding:int,plain:string>>>")
+    )
 
 
 def _kinded(kind: str, found: Column) -> Column:
@@ -170,11 +234,7 @@ def scanned(documents: DataFrame, *keep: str) -> DataFrame:
             *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]],
             base.alias("base"), "_tokens",
         ),
-        _free=F.filter(
-            "_tokens",
-            lambda x: x["t"]["encoding"].isNotNull()
-            & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
-        ),
+        _free=_apart(F.filter("_tokens", lambda x: x["t"]["encoding"].isNotNull()), F.col("base")),
     ).drop("_tokens")
     placed = F.transform(
         "_free",
