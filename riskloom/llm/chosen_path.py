@@ -33,9 +33,10 @@ from riskloom.llm.rolling import mixed, powers, prefix_sums
 from riskloom.llm.shared import GAP, settled, stored, table, text_or_empty
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 1 - 1e-5
-SKETCH, ALIKE = 64, 28  # minhash bytes; at 0.8 fewer than 28 of 64 agree with chance below 1e-11
+SKETCH = 64  # minhash bytes
+UNLIKE = 1e-11  # chance that the first look drops a pair at the threshold
 LARGE, BLOCK, DEPTH = 3_000, 1_500, 3
-SPLIT_TOKENS = 4
+UNSPLIT = 0.0017  # chance that a split parts a pair at the threshold
 BATCH_BYTES = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ODD = mixed(np.arange(1, SKETCH + 1, dtype=np.uint64) * GOLDEN) | np.uint64(1)
@@ -46,6 +47,24 @@ def runs_for(recall: float = RECALL) -> int:
     return max(1, math.ceil(-math.log(1 - recall)))
 
 
+def least_agreeing(similarity: float) -> int:
+    """Minhash bytes that must agree: of a pair at the threshold fewer do with chance below UNLIKE.
+
+    At a low similarity that is none, and the first look goes by sizes alone.
+    """
+    below = 0.0
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k)
+        if below > UNLIKE:
+            return k
+    return SKETCH
+
+
+def split_tokens_for(similarity: float) -> int:
+    """Orders per split, so that a pair at the threshold meets under one of them."""
+    return 1 if similarity >= 1 else max(1, math.ceil(math.log(UNSPLIT) / math.log(1 - similarity)))
+
+
 def token_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit tokens (word five-grams) of each text."""
     out: list[np.ndarray] = []
@@ -138,7 +157,7 @@ def sets_of(documents: DataFrame, similarity: float, recall: float) -> DataFrame
     )
 
 
-def _split(large: DataFrame, nodes: DataFrame) -> DataFrame:
+def _split(large: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """large: path, node.  The next choices of each set.
 
     The least token under a random order is a sampled token that similar sets share; the minhash
@@ -147,7 +166,7 @@ def _split(large: DataFrame, nodes: DataFrame) -> DataFrame:
     order = lambda n: F.pmod(F.xxhash64("path", F.lit(n)), F.lit(SKETCH)).cast("int") + 1
     found = F.array(*[
         F.struct(F.xxhash64("path", order(n), F.substr("sketch", order(n), F.lit(1))).alias("next"))
-        for n in range(SPLIT_TOKENS)
+        for n in range(split_tokens_for(similarity))
     ])
     return large.join(nodes.select("node", "sketch"), "node").select(
         F.inline(F.array_distinct(found)), "node"
@@ -220,7 +239,7 @@ def _candidates(
         agree = np.zeros((count, count), np.int16)
         for k in range(SKETCH):
             agree += sketches[:, k][:, None] == sketches[:, k][None, :]
-    pairs &= agree >= ALIKE
+    pairs &= agree >= least_agreeing(similarity)
     if not pairs.any():
         return pairs
     members: dict[int, list[int]] = {}
@@ -377,7 +396,7 @@ def classified(documents: DataFrame, similarity: float = SIMILARITY, recall: flo
             break
         done = rest.join(loose, "path", "left_anti")
         leaves = done if leaves is None else leaves.unionByName(done)
-        rest = settled(_split(rest.join(loose, "path", "left_semi"), nodes))
+        rest = settled(_split(rest.join(loose, "path", "left_semi"), nodes, similarity))
         sizes = settled(_sizes(rest))
         rest = rest.join(sizes.select("path"), "path", "left_semi")
     leaves = settled((rest if leaves is None else leaves.unionByName(rest)).distinct())

@@ -1,6 +1,7 @@
 """Operators on texts against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -336,3 +337,41 @@ def test_mix_among_equal_rows(spark):
         taken = {r["source"]: r["sum(taken)"] // 10 for r in got}
         kept = mixed_documents(docs, weights).groupBy("source").count().collect()
         assert {r["source"]: r["count"] for r in kept} == taken
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5, 0.3])
+def test_planted_pairs_are_found_at_every_similarity(spark, similarity):
+    """Pairs a little above the threshold, also where buckets are split (few tokens that all texts share)."""
+    rng = random.Random(12)
+    rows = []
+    for n in range(200):
+        own = [f"w{n}x{k}" for k in range(180)]
+        keep = int(len(own) * (2 * similarity / (1 + similarity))) + 6
+        other = own[:keep] + [f"v{n}x{k}" for k in range(180 - keep)]
+        rows += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(other))]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["class_id"] for r in chosen_path.near_duplicates(docs, similarity).collect()}
+    assert sum(found[2 * n] == found[2 * n + 1] for n in range(200)) >= 198
+    assert len(set(found.values())) >= 200
+
+
+def test_secrets_are_found_in_linear_time(spark):
+    """Each token of a long text is looked at once; equal to plain Python, also where tokens meet base spans."""
+    rng = random.Random(13)
+    signs = "ABCDEFghijkl0123456789+/"
+    parts = []
+    for n in range(3000):
+        token = "".join(rng.choices(signs, k=rng.randint(20, 30)))
+        parts.append(rng.choice([token, "password=" + token, token + "=secret: abcdefgh", "ab" * 13 + "Z" + token, "é " + token]))
+    text = rng.choice([" ", "\n"]).join(parts)
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    got = secret_randomness.scanned(docs, "doc_id").where("doc_id = 1").first()
+    base = sorted((x["start"], x["kind"], x["end"]) for x in got["base"])
+    assert _digest(",".join(f"{secret_randomness.KINDS[k]}:{a}:{b}" for a, k, b in base)) == _secrets(text)
+    tokens = [(m.start(), m.end()) for m in re.finditer(secret_randomness.TOKEN, text, re.A)]
+    free = [
+        (a, b) for a, b in tokens
+        if re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b]) and not any(s < b and a < e for s, _, e in base)
+    ]
+    assert [(x["start"], x["end"]) for x in got["tokens"]] == free
