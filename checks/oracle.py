@@ -689,6 +689,12 @@ def all_sql() -> dict[str, str]:
         "taint_sources": """SELECT src_key, fetch_var <> '' AS is_fetch, count(*) AS n FROM facts
             WHERE src_key <> '' OR fetch_var <> '' GROUP BY ALL""",
         "taint_flows": "SELECT path, line_no, sink, variable, src_var, src_key, src_line, steps FROM flows",
+        "taint_edges": """SELECT DISTINCT path, split_part(s, ':', 1)::INTEGER AS line_no, split_part(s, ':', 2) AS operation,
+            split_part(s, ':', 3) AS variable, coalesce(nullif(split_part(b, ':', 1), ''), '0')::INTEGER AS previous_line,
+            split_part(b, ':', 3) AS previous_variable
+            FROM (SELECT path, unnest(p) AS s, unnest(list_prepend('', p)) AS b
+              FROM (SELECT path, string_split(steps, '|') AS p FROM flows))
+            WHERE s IS NOT NULL AND split_part(s, ':', 2) <> 'sink'""",
         "taint_findings": """SELECT path, line_no, rule_id, category, severity, cwe, match_text, line_text
             FROM taint_found""",
         "dedup_findings": """SELECT project, path, line_no, category, rule_id, severity, confidence, is_taint,

@@ -255,21 +255,29 @@ def taint_sources(spark, sf):
 
 
 def taint_flows(spark, sf):
-    df = taint.with_flows(taint.with_facts(lined(spark, sf)))
-    flows = df.select("path", F.explode_outer("flows").alias("f")).where("f IS NOT NULL")
-    steps = F.array_join(
-        F.transform(
-            "f.steps",
-            lambda s: F.concat_ws(":", s["line_no"].cast("string"), s["operation"], s["variable"]),
-        ),
-        "|",
-    )
+    df = taint.with_flows(taint.with_facts(lined(spark, sf)), every_path=True)
+    spelled = lambda s: F.concat_ws(":", s["line_no"].cast("string"), s["operation"], s["variable"])
+    flows = df.select("path", F.transform("edges", spelled).alias("e"), F.explode_outer("flows").alias("f")).where("f IS NOT NULL")
+    sink = F.concat_ws(":", F.col("f.line_no").cast("string"), F.lit("sink"), "f.variable")
+    steps = F.array_join(F.concat(F.transform("f.path", lambda n: F.get("e", n)), F.array(sink)), "|")
     return flows.select(
         "path", "f.line_no", "f.sink", "f.variable", "f.src_var", "f.src_key", "f.src_line",
         steps.alias("steps"),
     )
 
 
+def taint_edges(spark, sf):
+    """Edges on the way of some flow, each once."""
+    df = taint.with_flows(taint.with_facts(lined(spark, sf)), every_path=True)
+    used = df.withColumn("used", F.array_distinct(F.flatten(F.transform("flows", lambda f: f["path"]))))
+    edges = taint.flow_edges(used)
+    kept = used.select("project", "path", F.explode("used").alias("edge"))
+    return edges.join(kept, ["project", "path", "edge"]).select(
+        "path", "line_no", "operation", "variable", F.coalesce("previous_line", F.lit(0)).alias("previous_line"),
+        F.coalesce("previous_variable", F.lit("")).alias("previous_variable"),
+    )
+
+
 def taint_findings(spark, sf):
     df = taint.with_flows(taint.with_facts(lined(spark, sf)))
     book = O.RuleBook([])
@@ -560,7 +568,7 @@ QUERIES = {
         ("toctou", toctou), ("csrf_form", csrf_form), ("csrf_form_whole", csrf_form_whole),
         ("insecure_logout", insecure_logout),
         ("missing_headers", missing_headers),
-        (None, taint_facts), (None, taint_sources), (None, taint_flows), (None, taint_findings),
+        (None, taint_facts), (None, taint_sources), (None, taint_flows), (None, taint_edges), (None, taint_findings),
         (None, dedup_findings), (None, active_findings), (None, sev_counts), (None, cat_counts),
         (None, conf_counts), (None, scan_totals), (None, summary_pivot), (None, distinct_rules),
         (None, quality_gate), (None, report_order), (None, report_json), (None, report_summary),

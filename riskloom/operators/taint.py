@@ -19,28 +19,12 @@ from riskloom.operators import walk
 from riskloom.rules import flows as V
 from riskloom.rules.exemptions import VARIABLE
 
-FLOW_STRUCT = T.StructType(
-    [
-        T.StructField("line_no", T.IntegerType()),
-        T.StructField("sink", T.IntegerType()),
-        T.StructField("variable", T.StringType()),
-        T.StructField("src_var", T.StringType()),
-        T.StructField("src_key", T.StringType()),
-        T.StructField("src_line", T.IntegerType()),
-        T.StructField(
-            "steps",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("line_no", T.IntegerType()),
-                        T.StructField("operation", T.StringType()),
-                        T.StructField("variable", T.StringType()),
-                    ]
-                )
-            ),
-        ),
-    ]
+_EDGE = "ARRAY<STRUCT<line_no: INT, operation: STRING, variable: STRING, previous: INT>>"
+_FLOW = (
+    "ARRAY<STRUCT<line_no: INT, sink: INT, variable: STRING, src_var: STRING, src_key: STRING, "
+    "src_line: INT, last: INT, path: ARRAY<INT>>>"
 )
+TRACE = f"STRUCT<edges: {_EDGE}, flows: {_FLOW}>"
 cloudpickle.register_pickle_by_value(walk)
 
 SINK_RULES: list[Rule] = [
@@ -118,26 +102,44 @@ def with_facts(df: DataFrame, extended_fetch: bool = False) -> DataFrame:
     return df.withColumn("facts", line_facts(extended_fetch))
 
 
-def _tracer():
+def _tracer(every_path: bool):
     """The Arrow function; it carries its constants and needs no package on workers."""
-    follow, flow_type = walk.walk, to_arrow_type(T.ArrayType(FLOW_STRUCT))
+    kind = T.DataType.fromDDL(TRACE)
+    follow, trace_type = walk.walk, to_arrow_type(kind)
     fetch_key = V.DB_FETCH_KEY
     output_sinks = {n for n, s in enumerate(V.SINKS) if s[1] == "Cross-Site Scripting"}
+    standing = [(category, severity) for _, category, severity, _ in V.SINKS]
 
     def trace(facts: pa.Array) -> pa.Array:
-        flows = [follow(f, fetch_key, output_sinks) for f in facts.to_pylist()]
-        return pa.array(flows, flow_type)
+        found = [follow(f, fetch_key, output_sinks, standing, every_path) for f in facts.to_pylist()]
+        return pa.array(found, trace_type)
 
-    return F.arrow_udf(trace, T.ArrayType(FLOW_STRUCT))
+    return F.arrow_udf(trace, kind)
 
 
-def with_flows(df: DataFrame) -> DataFrame:
-    """Adds ``flows``.  Files without any source or any sink never reach Python's loop."""
+def with_flows(df: DataFrame, every_path: bool = False) -> DataFrame:
+    """Adds ``flows`` and ``edges``.  Files without any source or any sink never reach Python's loop.
+
+    An edge is in the table once, however many flows go over it.  Flows that another one of their
+    line and category replaces have no path, unless ``every_path`` is on.
+    """
     possible = F.exists(
         "facts", lambda f: (f["src_key"] != "") | (f["fetch_var"] != "")
     ) & F.exists("facts", lambda f: F.size(f["sinks"]) > 0)
     relevant = F.when(possible, F.col("facts")).otherwise(F.slice("facts", 1, 0))
-    return df.withColumn("flows", _tracer()(relevant))
+    traced = df.withColumn("_trace", _tracer(every_path)(relevant))
+    return traced.select("*", "_trace.flows", "_trace.edges").drop("_trace")
+
+
+def flow_edges(df: DataFrame) -> DataFrame:
+    """``df`` with ``edges`` → one row per edge; ``previous`` is the line and variable it continues."""
+    rows = df.select("project", "path", "edges", F.posexplode_outer("edges").alias("edge", "e")).where("e IS NOT NULL")
+    before = F.when(F.col("e.previous") >= 0, F.get("edges", F.col("e.previous")))
+    return rows.select(
+        "project", "path", "edge", "e.line_no", "e.operation", "e.variable",
+        F.col("e.previous").alias("previous"), before["line_no"].alias("previous_line"),
+        before["variable"].alias("previous_variable"),
+    )
 
 
 def sink_function(sink: Column) -> Column:
@@ -147,11 +149,19 @@ def sink_function(sink: Column) -> Column:
 def flow_candidates() -> Column:
     """Flows as findings-to-be: ``(line_no, rule, match, description, advice, steps)``."""
 
-    def code(line_no: Column) -> Column:
-        return trimmed(F.element_at(F.col("lines"), line_no))
+    def step(line_no: Column, operation: Column, variable: Column) -> Column:
+        return F.struct(
+            F.col("path").alias("file"), line_no.alias("line"),
+            clipped(trimmed(F.element_at(F.col("lines"), line_no)), SHOWN_STEP_CHARS).alias("code"),
+            operation.alias("operation"), variable.alias("variable"),
+        )
 
-    def report(f: Column) -> Column:
+    def report(f: Column, steps: Column) -> Column:
         call = F.concat(sink_function(f["sink"]), F.lit("()"))
+        way = F.concat(
+            F.transform(f["path"], lambda n: F.get(steps, n)),
+            F.array(step(f["line_no"], F.lit("sink"), f["variable"])),
+        )
         return F.struct(
             f["line_no"].alias("line_no"),
             f["sink"].alias("rule"),
@@ -164,16 +174,11 @@ def flow_candidates() -> Column:
             F.concat(
                 F.lit("Clean "), f["src_var"], F.lit(" before it reaches "), call
             ).alias("advice"),
-            F.transform(
-                f["steps"],
-                lambda s: F.struct(
-                    F.col("path").alias("file"),
-                    s["line_no"].alias("line"),
-                    clipped(code(s["line_no"]), SHOWN_STEP_CHARS).alias("code"),
-                    s["operation"].alias("operation"),
-                    s["variable"].alias("variable"),
-                ),
-            ).alias("steps"),
+            F.coalesce(way, F.slice(steps, 1, 0)).alias("steps"),
         )
 
-    return F.transform("flows", report)
+    # Every edge is worded once; paths pick from these.
+    worded = F.transform("edges", lambda e: step(e["line_no"], e["operation"], e["variable"]))
+    return F.flatten(
+        F.transform(F.array(worded), lambda steps: F.transform("flows", lambda f: report(f, steps)))
+    )

@@ -1,30 +1,38 @@
 """State machine over the taint facts of one file; plain Python, no imports."""
 
 
-def walk(facts: list[dict], fetch_key: str, output_sinks: set[int]) -> list[dict]:
-    """Flows of one file, from its facts in line order.
+def walk(
+    facts: list[dict], fetch_key: str, output_sinks: set[int], standing: list[tuple], every_path: bool = False
+) -> dict:
+    """Edges and flows of one file, from its facts in line order.
 
     ``state`` maps a variable to what is known about it.  Data that came from a
     database counts only where it is printed (``output_sinks``).
 
-    A path is a chain of ``(step, previous)`` pairs, shared between variables and
-    unrolled only for a reported flow.
+    An edge is a step with the number of the edge before it (-1: none); variables and flows share edges.  A flow
+    names its last edge.  Its path, all numbers from the source on, is unrolled only if no other flow of
+    its line stands in its place later: ``standing`` gives (category, severity) of each sink, and of one
+    line and category the severest and first flow is reported.  ``every_path`` unrolls all.
     """
-    state: dict[str, tuple] = {}  # variable -> (source, path, sanitized)
-    flows = []
+    state: dict[str, tuple] = {}  # variable -> (source, last edge, sanitized)
+    edges: list[dict] = []
+    flows: list[dict] = []
+    best: dict[tuple, int] = {}  # line and category -> flow
+
+    def edge(line_no, operation, variable, previous):
+        edges.append({"line_no": line_no, "operation": operation, "variable": variable, "previous": previous})
+        return len(edges) - 1
 
     def extend(info, line_no, variable):
-        return (info[0], ((line_no, "assignment", variable), info[1]), False)
+        return (info[0], edge(line_no, "assignment", variable, info[1]), False)
 
     for f in facts:
         line_no, target = f["line_no"], f["target"]
         if f["src_key"]:
-            source = (target, f["src_key"], line_no)
-            state[target] = (source, ((line_no, "source", target), None), False)
+            state[target] = ((target, f["src_key"], line_no), edge(line_no, "source", target, -1), False)
         if f["fetch_var"]:
             variable = f["fetch_var"]
-            source = (variable, fetch_key, line_no)
-            state[variable] = (source, ((line_no, "source", variable), None), False)
+            state[variable] = ((variable, fetch_key, line_no), edge(line_no, "source", variable, -1), False)
         elif f["row_to"] and f["row_from"] in state:
             state[f["row_to"]] = extend(state[f["row_from"]], line_no, f["row_to"])
         if target:
@@ -37,33 +45,35 @@ def walk(facts: list[dict], fetch_key: str, output_sinks: set[int]) -> list[dict
             if f["cleans"]:
                 for ref in f["rest_vars"]:
                     if ref in state:
-                        source, path, _ = state[ref]
-                        state[target] = (source, path, True)
+                        source, last, _ = state[ref]
+                        state[target] = (source, last, True)
                         break
         for sink in f["sinks"]:
             for ref in f["line_vars"]:
                 info = state.get(ref)
                 if info is None or info[2]:
                     continue
-                source, path, _ = info
+                source, last, _ = info
                 if source[1] == fetch_key and sink not in output_sinks:
                     continue
-                steps = [(line_no, "sink", ref)]
-                while path is not None:
-                    steps.append(path[0])
-                    path = path[1]
+                category, severity = standing[sink]
+                held = best.get((line_no, category))
+                if held is None or standing[flows[held]["sink"]][1] < severity:
+                    best[line_no, category] = len(flows)
                 flows.append(
                     {
-                        "line_no": line_no,
-                        "sink": sink,
-                        "variable": ref,
-                        "src_var": source[0],
-                        "src_key": source[1],
-                        "src_line": source[2],
-                        "steps": [
-                            {"line_no": n, "operation": op, "variable": v}
-                            for n, op, v in reversed(steps)
-                        ],
+                        "line_no": line_no, "sink": sink, "variable": ref, "src_var": source[0],
+                        "src_key": source[1], "src_line": source[2], "last": last, "path": None,
                     }
                 )
-    return flows
+    unrolled = {}  # edge -> path; flows of one line often end in one edge
+    for flow in flows if every_path else [flows[n] for n in best.values()]:
+        last = flow["last"]
+        if last not in unrolled:
+            path, at = [], last
+            while at >= 0:
+                path.append(at)
+                at = edges[at]["previous"]
+            unrolled = {last: path[::-1]}
+        flow["path"] = unrolled[last]
+    return {"edges": edges, "flows": flows}

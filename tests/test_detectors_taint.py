@@ -93,13 +93,14 @@ def test_file_level_rule(spark, make_files):
 
 
 def _flows(files):
-    df = taint.with_flows(taint.with_facts(with_lines(files)))
-    rows = df.select("path", F.posexplode_outer("flows").alias("n", "f")).where("f IS NOT NULL")
+    df = taint.with_flows(taint.with_facts(with_lines(files)), every_path=True)
+    rows = df.select("path", "edges", F.posexplode_outer("flows").alias("n", "f")).where("f IS NOT NULL")
     out = {}
     for r in rows.orderBy("path", "n").collect():
         out.setdefault(r.path, []).append(
             (r.f.line_no, V.SINKS[r.f.sink][0], r.f.src_var, r.f.src_key, r.f.src_line,
-             [(s.line_no, s.operation, s.variable) for s in r.f.steps])
+             [(e.line_no, e.operation, e.variable) for e in (r.edges[n] for n in r.f.path)]
+             + [(r.f.line_no, "sink", r.f.variable)])
         )
     return out
 
@@ -191,3 +192,15 @@ def test_extended_fetch(spark, make_files):
         F.size("flows").alias("n")
     ).collect()[0].n
     assert (count(False), count(True)) == (0, 1)
+
+
+def test_self_appending_code(spark, make_files):
+    """2,000 appends: 2,001 edges; of 6,000 flows one a line has its path, in order from the source."""
+    files = make_files("$s = $_GET['a'];\n" + "$s = $s . 'x'; echo $s; print $s;\n" * 2000)
+    df = taint.with_flows(taint.with_facts(with_lines(files)))
+    assert taint.flow_edges(df).count() == 2001
+    row = df.select("flows", F.transform(taint.flow_candidates(), lambda c: F.size(c["steps"])).alias("steps")).first()
+    with_path = [(f.line_no, f.path) for f in row.flows if f.path is not None]
+    assert len(with_path) == len({f.line_no for f in row.flows}) == 2000
+    assert all(path == list(range(line_no)) for line_no, path in with_path)
+    assert sum(row.steps) == sum(line_no + 1 for line_no, _ in with_path)
