@@ -1,8 +1,8 @@
 """Quality rules, line first: drop failing lines, then documents that lost too much.
 
 A line fails if it is navigation (several bars or arrows between short pieces), symbol noise,
-shouting, boilerplate (cookie, licence and menu wordings) or a bare fragment without closing
-punctuation.  What is left is the cleaned text; a document whose failing lines hold more than
+shouting, a licence or rights notice, a short menu entry or a bare fragment without closing
+punctuation (of any script).  A long line fails only for what it is as a whole, never for one word in it.  What is left is the cleaned text; a document whose failing lines hold more than
 `MOST_LOST` of its characters is rejected.  Everything is built from DataFrame functions inside
 the document's own row: nothing is shuffled, so copies and long texts cause no skew.
 
@@ -23,24 +23,43 @@ MOST_REPEATED = 30  # percent of words
 WINDOW = 8
 MOST_LOST = 0.5
 
-SYMBOLS = "#*$%&|<>"
-NAVIGATION = r"[|>»›•·][^|>»›•·]{0,60}[|>»›•·][^|>»›•·]{0,60}[|>»›•·]"
+NAVIGATION_LEAST, NAVIGATION_PIECE = 3, 30  # separators, characters from one to the next
 NOISE = r"[#*$%&<>]{3,}[^#*$%&<>]{0,60}[#*$%&<>]{3,}"
+NOISE_SHARE = 5  # a symbol in so many characters
 LOWER, UPPER, SHOUT = r"\p{Ll}", r"\p{Lu}\p{Lu}", "!!"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie|javascript|subscribe|"
-    r"lorem ipsum|licensed under|redistribution and use|sign (in|up)|log in|read more|click here)"
+# Notices fail a line of up to so many characters; menu words only a short one that is no sentence.
+NOTICE = (
+    r"(?i)(all rights reserved|terms of (use|service)|privacy policy|lorem ipsum|licensed under|redistribution and use)"
 )
-CLOSED = r"[.!?…:;,\"'”’»)\]}][\x20\x09-\x0D]*$"
+NOTICE_CHARS = 240
+MENU = r"(?i)\b(cookies?|javascript|subscribe|sign (in|up)|log ?in|read more|click here)\b"
+MENU_CHARS = 80
+SENTENCE = r"[.!?…。！？।॥۔؟][\"'”’»)\]」』）]*[\x20\x09-\x0D]*$"
+CLOSED = r"[.!?…:;,\"'”’»)\]}。！？、；：」』）】》।॥۔؟،؛][\x20\x09-\x0D]*$"
 FRAGMENT_WORDS = 8
+# Scripts that do not put spaces between words: a line of so many characters is no fragment.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]{4}"
+UNSPACED_CHARS = 16
+
+
+def _count(line: Column, signs: str) -> Column:
+    """How many characters of the line are among the signs."""
+    return F.length(line) - F.length(F.translate(line, signs, ""))
 
 
 def line_fails(line: Column) -> Column:
-    fragment = ~line.rlike(CLOSED) & ~line.rlike(rf"({WORD}{GAP}){{{FRAGMENT_WORDS}}}")
+    """Whether the line as a whole is furniture: one word or sign in a long line does not decide."""
+    size = F.length(line)
+    # A closing guillemet is an arrow only where no opening one makes it a quotation.
+    arrows = F.when(line.contains("«"), F.lit(0)).otherwise(_count(line, "»"))
+    bars = _count(line, "|>›•·") + arrows
+    navigation = (bars >= NAVIGATION_LEAST) & (size <= (bars + 1) * NAVIGATION_PIECE)
+    noise = line.rlike(NOISE) & (_count(line, "#*$%&<>") * NOISE_SHARE >= size)
     shout = line.contains(SHOUT) & line.rlike(UPPER) & ~line.rlike(LOWER)
-    return (
-        line.rlike(NAVIGATION) | line.rlike(NOISE) | shout | line.rlike(BOILERPLATE) | fragment
-    )
+    notice = (size <= NOTICE_CHARS) & line.rlike(NOTICE)
+    menu = (size <= MENU_CHARS) & line.rlike(MENU) & ~line.rlike(SENTENCE)
+    worded = line.rlike(rf"({WORD}{GAP}){{{FRAGMENT_WORDS}}}") | ((size >= UNSPACED_CHARS) & line.rlike(UNSPACED))
+    return navigation | noise | shout | notice | menu | (~line.rlike(CLOSED) & ~worded)
 
 
 def _has_word(line: Column) -> Column:
@@ -144,11 +163,20 @@ WITH d AS (
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d
 ), f AS (
-  SELECT *, list_filter(lines, lambda x: regexp_matches(x, 'NAVIGATION') OR regexp_matches(x, 'NOISE')
-      OR (contains(x, '!!') AND regexp_matches(x, '\p{Lu}\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}'))
-      OR regexp_matches(x, 'BOILERPLATE')
-      OR (NOT regexp_matches(x, 'CLOSED')
-          AND NOT regexp_matches(x, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){8}'))) AS failing
+  SELECT *, list_filter(lines, lambda x:
+    (len(regexp_extract_all(x, '[|>›•·]')) + CASE WHEN contains(x, '«') THEN 0 ELSE len(string_split(x, '»')) - 1 END >= 3
+      AND length(x) <= 30 * (1 + len(regexp_extract_all(x, '[|>›•·]')) + CASE WHEN contains(x, '«') THEN 0 ELSE len(string_split(x, '»')) - 1 END))
+    OR (regexp_matches(x, '[#*$%&<>]{3,}[^#*$%&<>]{0,60}[#*$%&<>]{3,}') AND 5 * len(regexp_extract_all(x, '[#*$%&<>]')) >= length(x))
+    OR (contains(x, '!!') AND regexp_matches(x, '\p{Lu}{2}') AND NOT regexp_matches(x, '\p{Ll}'))
+    OR (length(x) <= 240 AND (contains(lower(x), 'all rights reserved') OR contains(lower(x), 'terms of use')
+      OR contains(lower(x), 'terms of service') OR contains(lower(x), 'privacy policy') OR contains(lower(x), 'lorem ipsum')
+      OR contains(lower(x), 'licensed under') OR contains(lower(x), 'redistribution and use')))
+    OR (length(x) <= 80 AND NOT regexp_matches(x, '[.!?…。！？।॥۔؟]["''”’»)\]」』）]*[ \t\n\x0b\f\r]*$')
+      AND regexp_matches(x, '(?i)(^|[^0-9a-z_])(cookie|cookies|javascript|subscribe|sign in|sign up|login|log in|read more|click here)($|[^0-9a-z_])'))
+    OR (NOT regexp_matches(x, '[.!?…:;,"''”’»)\]}。！？、；：」』）】》।॥۔؟،؛][ \t\n\x0b\f\r]*$')
+      AND NOT regexp_matches(x, '(\x20|[\t\n\x0b\f\r]|^)([^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]+){8}')
+      AND NOT (length(x) >= 16 AND regexp_matches(x, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{4}')))
+  ) AS failing
   FROM w
 ), p AS (
   SELECT r, i, list_aggregate(words[i : i + 7], 'string_agg', ' ') AS win
@@ -174,5 +202,3 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   lost_chars
 FROM m
 """
-for _name in ("NAVIGATION", "NOISE", "BOILERPLATE", "CLOSED"):
-    OP2_SQL = OP2_SQL.replace(f"'{_name}'", "'" + globals()[_name].replace("'", "''") + "'")

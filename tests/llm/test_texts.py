@@ -375,3 +375,30 @@ def test_secrets_are_found_in_linear_time(spark):
         if re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b]) and not any(s < b and a < e for s, _, e in base)
     ]
     assert [(x["start"], x["end"]) for x in got["tokens"]] == free
+
+
+# Clean prose in four scripts, and lines that are furniture as a whole.
+PROSE = [
+    "The baker put a cookie on the counter, and the judge asked them to log in with javascript switched off; " * 3 + "so they did.",
+    "« Oui », dit la voisine, « non », dit le voisin, « peut-être », dit le facteur, et tous les trois rirent longtemps ensemble.",
+    "यह एक साफ वाक्य है जो हिन्दी में लिखा गया है।", "आज मौसम अच्छा है।",
+    "今日はとても天気がいいので公園へ散歩に行きました。", "春の朝に鳥が鳴いていて川の音が聞こえる静かな村",
+    "هل تحب القراءة في المساء؟", "I subscribe to that view.",
+]
+FURNITURE = [
+    "Home | News | Sport | Login", "Home » World » Europe » France", "### $$$ %%% &&& ***", "BUY NOW!!", "All rights reserved 2019",
+    "Click here to read more", "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+    "three bare words", "Subscribe",
+]
+
+
+def test_line_rules_keep_prose_of_any_script(spark):
+    from riskloom.llm.quality_lines import line_fails, measured
+    from pyspark.sql import functions as F
+
+    rows = [(t, False) for t in PROSE] + [(t, True) for t in FURNITURE]
+    got = spark.createDataFrame(rows, "t string, wanted boolean").select("t", "wanted", line_fails(F.col("t")).alias("fails")).collect()
+    assert [r["t"] for r in got if r["fails"] != r["wanted"]] == []
+    article = " ".join(f"Sentence {n} says w{n} x{n} y{n} of a cookie z{n} and javascript." for n in range(40))
+    kept = measured(spark.createDataFrame([(1, article)], "doc_id long, text string"), "doc_id").first()
+    assert kept["kept"] and kept["lost_chars"] == 0
