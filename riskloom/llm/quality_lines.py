@@ -53,7 +53,7 @@ def line_fails(line: Column) -> Column:
     # A closing guillemet is an arrow only where no opening one makes it a quotation.
     arrows = F.when(line.contains("«"), F.lit(0)).otherwise(_count(line, "»"))
     bars = _count(line, "|>›•·") + arrows
-    navigation = (bars >= NAVIGATION_LEAST) & (size <= (bars + 1) * NAVIGATION_PIECE)
+    navigation = line.rlike("[|>»›•·]") & (bars >= NAVIGATION_LEAST) & (size <= (bars + 1) * NAVIGATION_PIECE)
     noise = line.rlike(NOISE) & (_count(line, "#*$%&<>") * NOISE_SHARE >= size)
     shout = line.contains(SHOUT) & line.rlike(UPPER) & ~line.rlike(LOWER)
     notice = (size <= NOTICE_CHARS) & line.rlike(NOTICE)
