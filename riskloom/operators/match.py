@@ -12,6 +12,7 @@ from riskloom.model import (
 )
 from riskloom.operators.comments import surely_skipped
 from riskloom.rules import exemptions as X
+from riskloom.rules.chains import Chain, chain
 from riskloom.rules.sanitizers import SANITIZERS
 
 LOOKBACK_LINES = 5
@@ -23,6 +24,15 @@ def _hinted(low: str, hints) -> list[str]:
     return [any_of(low, hint.split("|") if len(hint) > 1 else [hint]) for hint in hints]
 
 
+def _chain_match(text: str, parts: Chain) -> tuple[str, str]:
+    """SQL for text and start of a match that is known to exist."""
+    whole = sqltext.extract(text, parts.text, parts.group)
+    if parts.start:
+        return whole, sqltext.start(text, parts.start)
+    stretch = f"length({sqltext.extract(text, parts.text)})"
+    return whole, f"{sqltext.start(text, parts.text)} + {stretch} - length({whole})"
+
+
 def line_hits(text: str, low: str, rules: list[Rule]) -> str:
     """SQL for the hits of one line: ``(rule_ord, match, pos)``, first match per rule.
 
@@ -33,14 +43,16 @@ def line_hits(text: str, low: str, rules: list[Rule]) -> str:
         conditions = _hinted(low, rule.hints)
         if rule.unless:
             conditions.append(f"NOT {sqltext.rlike(text, rule.unless)}")
+        whole, start = sqltext.extract(text, rule.pattern), sqltext.start(text, rule.pattern)
+        if parts := chain(rule.pattern):
+            conditions.append(sqltext.rlike(text, parts.exists))
+            whole, start = _chain_match(text, parts)
         pos = "0"
         if rule.category in _SANITIZED_CATEGORIES:
-            conditions.append(sqltext.rlike(text, rule.pattern))
-            pos = sqltext.start(text, rule.pattern)
-        hit = (
-            f"named_struct('rule_ord', {rule_ord}, "
-            f"'match', {sqltext.extract(text, rule.pattern)}, 'pos', {pos})"
-        )
+            if not parts:
+                conditions.append(sqltext.rlike(text, rule.pattern))
+            pos = start
+        hit = f"named_struct('rule_ord', {rule_ord}, 'match', {whole}, 'pos', {pos})"
         options.append(f"if({' AND '.join(conditions) or 'true'}, {hit}, NULL)")
     if not options:
         options = ["CAST(NULL AS STRUCT<rule_ord: INT, match: STRING, pos: INT>)"]
