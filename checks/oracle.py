@@ -513,6 +513,19 @@ _number = "try_cast(regexp_extract(path, '(\\d+)[.][a-zA-Z]+$', 1) AS BIGINT)"
 _OLD = f"""(SELECT project, path, {_FP} AS fingerprint FROM (SELECT project, rule_id, path, match_text,
   CASE WHEN line_no % 7 = 0 THEN line_no + 1000 ELSE line_no END AS line_no FROM judged
   WHERE try_cast(regexp_extract(path, '/f(\\d+)\\.', 1) AS BIGINT) % 2 = 0))"""
+_FREE = "left(sha256(concat_ws(':', rule_id, path, match_text)), 16)"
+_MOVED = f"""SELECT * FROM (WITH now AS (SELECT project, path, line_no, rule_id, {_FP} AS fp, {_FREE} AS moving FROM judged),
+old AS (SELECT project, {_FP} AS fp, {_FREE} AS moving FROM (SELECT project, rule_id, path, match_text,
+  CASE WHEN line_no % 7 = 0 THEN line_no + 1000 ELSE line_no END AS line_no FROM judged WHERE line_no % 5 <> 0
+  AND try_cast(regexp_extract(path, '/f(\\d+)\\.', 1) AS BIGINT) % 2 = 0)),
+stay AS (SELECT *, (project, fp) IN (SELECT (project, fp) FROM old) AS same FROM now)
+SELECT project, path, line_no, rule_id, moving FROM stay AS s
+WHERE (SELECT count(*) FROM old AS o WHERE o.project = s.project AND o.moving = s.moving)
+  <= (SELECT count(*) FROM stay AS t WHERE t.project = s.project AND t.moving = s.moving
+      AND (t.same > s.same OR (t.same = s.same AND t.line_no < s.line_no))))"""
+_LOG = f"""SELECT project, path, sha256(CASE WHEN n % 5 <> 0 AND n % 3 = 0 AND n % 7 = 0 THEN content || chr(10) || '// older'
+  ELSE content END) AS sha256, CAST(CASE WHEN n % 3 = 0 OR n % 5 = 0 OR n % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, n
+  FROM (SELECT *, coalesce({_number}, 0) AS n FROM files)"""
 _CHANGED = f"""SELECT project, path, sha256(content) AS sha256 FROM files
 WHERE coalesce({_number}, 0) % 5 = 0 OR coalesce({_number}, 0) % 7 = 0"""
 
@@ -746,6 +759,9 @@ WHERE v.visible IS NOT NULL AND NOT (r.category = {q(X.PREPARE_CATEGORY)} AND co
             WHERE (project, fingerprint) NOT IN (SELECT (project, fingerprint) FROM {_OLD})""",
         "baseline_fixed": f"""SELECT DISTINCT project, fingerprint FROM {_OLD}
             WHERE (project, fingerprint) NOT IN (SELECT (project, {_FP}) FROM judged)""",
+        "baseline_moved": _MOVED,
+        "cache_state": f"SELECT project, path, sha256, version FROM ({_LOG}) WHERE n % 3 <> 0",
+        "cache_removed": f"SELECT project, path, sha256, version FROM ({_LOG}) WHERE n % 3 = 0 AND n % 5 <> 0",
         "baseline_saved": f"""SELECT project, path, string_agg(fp, ',' ORDER BY fp) AS fingerprints
             FROM (SELECT project, path, {_FP} AS fp FROM judged) GROUP BY ALL""",
         "incremental_changed": _CHANGED,

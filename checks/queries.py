@@ -409,6 +409,20 @@ def baseline_saved(spark, sf):
     )
 
 
+def _moved_baseline(findings):
+    """As ``_baseline``, without the findings on every fifth line."""
+    number = F.expr(r"try_cast(regexp_extract(path, r'/f(\d+)\.', 1) AS BIGINT)")
+    line = F.when(F.col("line_no") % 7 == 0, F.col("line_no") + 1000).otherwise(F.col("line_no"))
+    return findings.where((number % 2 == 0) & (F.col("line_no") % 5 != 0)).withColumn("line_no", line)
+
+
+def baseline_moved(spark, sf):
+    """Findings that are neither known nor known ones that moved."""
+    found = judged_hits(spark, sf)
+    beyond = B.unmatched_findings(found, B.as_moving_baseline(_moved_baseline(found)))
+    return beyond.select("project", "path", "line_no", "rule_id", "moving")
+
+
 def _older(spark, sf):
     """An earlier state: some files missing, some with other content."""
     number = F.coalesce(
@@ -435,6 +449,24 @@ def incremental_reused(spark, sf):
     return I.kept_findings(found, files(spark, sf), _cache(spark, sf), RULES_TAG)
 
 
+def _log(spark, sf):
+    """Two scans: an earlier state of the corpus, then the present one without every third file."""
+    state = _cache(spark, sf).withColumn("version", F.lit(1).cast("bigint"))
+    number = F.coalesce(
+        F.expr(r"try_cast(regexp_extract(path, r'(\d+)[.][a-zA-Z]+$', 1) AS BIGINT)"), F.lit(0)
+    )
+    later = files(spark, sf).where(number % 3 != 0)
+    return state.withColumn("removed", F.lit(False)).unionByName(I.log_entries(later, state, RULES_TAG, 2))
+
+
+def cache_state(spark, sf):
+    return I.cache_state(_log(spark, sf)).select("project", "path", "sha256", "version")
+
+
+def cache_removed(spark, sf):
+    return I.latest_entries(_log(spark, sf)).where("removed").select("project", "path", "sha256", "version")
+
+
 def incremental_scan(spark, sf):
     """Earlier findings of unchanged files and a scan of the others: equal to a full scan."""
     cache = _cache(spark, sf)
@@ -575,6 +607,7 @@ QUERIES = {
         (None, report_sarif), (None, report_sarif_rules), (None, report_sarif_parts),
         (None, pack_findings),
         (None, fingerprint), (None, baseline_new), (None, baseline_fixed), (None, baseline_saved),
+        (None, baseline_moved), (None, cache_state), (None, cache_removed),
         (None, incremental_changed), (None, incremental_reused), (None, incremental_scan), (None, rules_hash),
         (None, framework_detect), (None, rule_packs), (None, config_nearest), (None, config_merge), (None, scan_by_config),
         (None, custom_rules), (None, custom_findings), (None, custom_rejected), ("convert_rules", convert_ext_rules),

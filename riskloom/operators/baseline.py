@@ -5,7 +5,7 @@ Paths are relative to their project, so a finding is known by project and finger
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 KEY = ["project", "fingerprint"]
@@ -55,3 +55,34 @@ def baseline_by_file(baseline: DataFrame) -> DataFrame:
     return baseline.groupBy("project", "path").agg(
         F.sort_array(F.collect_list("fingerprint")).alias("fingerprints")
     )
+
+
+# -- findings that moved -----------------------------------------------------------
+
+
+def as_moving_baseline(findings: DataFrame) -> DataFrame:
+    """What :func:`unmatched_findings` compares with: one row per finding, with and without its line."""
+    return with_fingerprint(findings).select(
+        "project", "path", "fingerprint", fingerprint(with_line=False).alias("moving")
+    )
+
+
+def unmatched_findings(findings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Findings beyond those of the baseline, as a difference of multisets.
+
+    A finding is known by rule, path and match.  Where a file now has more of one kind than it had, as many as
+    before are old: those on a line that the baseline has, then the upper ones.  So code that moves
+    gives nothing, and a second copy gives one finding.  Swapping the sides gives what was fixed.  Only counts
+    and fingerprints of the baseline are joined; an empty baseline leaves every finding.
+    """
+    before = baseline.groupBy("project", "moving").agg(F.count("*").alias("_before"))
+    same = baseline.select(*KEY).distinct().withColumn("_same", F.lit(True))
+    now = with_fingerprint(findings).withColumn("moving", fingerprint(with_line=False))
+    known = now.join(same, KEY, "left").join(before, ["project", "moving"], "left")
+    kind = Window.partitionBy("project", "moving").orderBy(
+        F.coalesce("_same", F.lit(False)).desc(), "line_no", "fingerprint"
+    )
+    beyond = known.withColumn("_place", F.row_number().over(kind)).where(
+        F.col("_place") > F.coalesce("_before", F.lit(0))
+    )
+    return beyond.select(*findings.columns, "fingerprint", "moving")
