@@ -3,7 +3,9 @@
 import re
 
 from checks import corpus as C
+from riskloom.model import ScanSettings
 from riskloom.operators import comments, lines as L, match as M
+from riskloom.plans.scan import scan
 from riskloom.rules.ruleset import all_rules
 
 TEXTS = [
@@ -36,7 +38,7 @@ def test_a_gate_is_part_of_what_its_rule_matches():
 def test_comment_state_is_computed_once_a_file(spark, make_files):
     files = make_files("/*\na\n*/ b\nc")
     df = M.with_hits(comments.with_comment_state(L.with_lines(files)), all_rules())
-    assert "in_comment, in_comment#" in _plan(df)  # a column, not its expression
+    assert "in_comment, in_comment#" in _plan(df.select("hits"))  # a column, not its expression
 
 
 def test_readers_of_lines_are_not_copied_for_each_source(spark, make_files):
@@ -72,3 +74,10 @@ def test_long_line_is_not_part_of_the_plan(spark, tmp_path):
     assert len(_plan(files)) < 200_000
     long = files.where("path LIKE '%/f17.%' OR path LIKE '%/f517.%'").selectExpr("max(length(content))", "count(*)").first()
     assert long[0] > 1048576 and long[1] == 2
+
+
+def test_a_scan_reads_forms_to_their_end(spark, make_files):
+    form = ["<form method='post'>"] + ["x"] * 40
+    files = make_files("\n".join(form + ["csrf", "</form>"]), "\n".join(form + ["INSERT", "</form>"]))
+    found = scan(files, ScanSettings(framework_packs=False)).where("category = 'CSRF' AND line_no = 1")
+    assert [(r.path, r.rule_id) for r in found.collect()] == [("p/f1.php", "CSRF-002")]
