@@ -2,7 +2,7 @@
 
 import re
 
-from checks import corpus as C
+from checks import corpus as C, queries
 from riskloom.model import ScanSettings
 from riskloom.operators import comments, lines as L, match as M
 from riskloom.plans.scan import scan
@@ -81,3 +81,9 @@ def test_a_scan_reads_forms_to_their_end(spark, make_files):
     files = make_files("\n".join(form + ["csrf", "</form>"]), "\n".join(form + ["INSERT", "</form>"]))
     found = scan(files, ScanSettings(framework_packs=False)).where("category = 'CSRF' AND line_no = 1")
     assert [(r.path, r.rule_id) for r in found.collect()] == [("p/f1.php", "CSRF-002")]
+
+
+def test_saved_state_is_read_not_computed_again(spark):
+    saved = queries._saved(spark.range(3).selectExpr("id * 2 AS x"))
+    assert "parquet" in _plan(saved) and "Range" not in _plan(saved)
+    assert sorted(r.x for r in saved.collect()) == [0, 2, 4]
