@@ -2,7 +2,7 @@
 
 import re
 
-from checks import corpus as C, queries
+from checks import corpus as C, oracle, queries
 from riskloom.model import ScanSettings
 from riskloom.operators import comments, lines as L, match as M
 from riskloom.plans.scan import scan
@@ -87,3 +87,11 @@ def test_saved_state_is_read_not_computed_again(spark):
     saved = queries._saved(spark.range(3).selectExpr("id * 2 AS x"))
     assert "parquet" in _plan(saved) and "Range" not in _plan(saved)
     assert sorted(r.x for r in saved.collect()) == [0, 2, 4]
+
+
+def test_forms_have_no_reach_in_the_sql_of_any_report():
+    texts = oracle.all_sql()
+    for name in ("active_findings", "sev_counts", "cat_counts", "conf_counts", "scan_totals", "summary_pivot",
+                 "distinct_rules", "quality_gate", "report_order", "report_json", "report_summary", "report_sarif",
+                 "report_sarif_parts", "csrf_form"):
+        assert oracle.CTES["d2_whole"] in texts[name] and "f.line_no + 30" not in texts[name], name
