@@ -89,6 +89,22 @@ def test_saved_state_is_read_not_computed_again(spark):
     assert sorted(r.x for r in saved.collect()) == [0, 2, 4]
 
 
+def test_a_hit_is_lower_cased_once_and_judged_in_compiled_steps(spark, make_files):
+    plan = _plan(queries.scan(make_files("echo $a; // nosec"), queries.PLAIN))
+    assert len(re.findall(r"lower\(text#", plan)) <= 1
+    steps = [line for line in plan.split("\n") if "near_func" in line and line.lstrip(" +-:").startswith("Generate")]
+    assert steps and not any("lambda" in line for line in steps)
+
+
+def test_a_comparison_scans_once(spark, tmp_path, monkeypatch):
+    scans = []
+    monkeypatch.setattr(queries, "judged_hits", lambda s, sf, f=queries.judged_hits: scans.append(sf) or f(s, sf))
+    for query in (queries.baseline_new, queries.baseline_fixed, queries.baseline_moved):
+        df = query(spark, "/root/testdata/sf0.001")
+        assert "mysql_query" not in _plan(df) and df.count() > 0  # rules are not matched again
+    assert len(scans) == 3
+
+
 def test_forms_have_no_reach_in_the_sql_of_any_report():
     texts = oracle.all_sql()
     for name in ("active_findings", "sev_counts", "cat_counts", "conf_counts", "scan_totals", "summary_pivot",
