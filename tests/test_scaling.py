@@ -111,3 +111,9 @@ def test_forms_have_no_reach_in_the_sql_of_any_report():
                  "distinct_rules", "quality_gate", "report_order", "report_json", "report_summary", "report_sarif",
                  "report_sarif_parts", "csrf_form"):
         assert oracle.CTES["d2_whole"] in texts[name] and "f.line_no + 30" not in texts[name], name
+
+
+def test_runs_of_a_line_meet_the_index_in_a_compiled_join(spark):
+    plan = _plan(queries.custom_findings(spark, "/root/testdata/sf0.001"))
+    joins = [line for line in plan.split("\n") if "Join Inner" in line and "literal#" in line]
+    assert joins and all("Contains(low#" in line and "lambda" not in line for line in joins)
