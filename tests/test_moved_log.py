@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from checks import queries
 from riskloom.operators import baseline as B, incremental as I
 
 
@@ -61,3 +62,16 @@ def test_cache_log(spark):
     # Other rules: all files are scanned and entered again.
     again = I.log_entries(files(a="1"), I.cache_state(log), "other", 4)
     assert {(r.path, r.removed) for r in again.collect()} == {("a", False), ("b", True), ("c", True), ("d", True)}
+
+
+def test_a_union_of_sources_is_joined_once(spark, make_files):
+    files = make_files("a").unionByName(make_files("b")).unionByName(make_files("c"))
+    state = I.file_hashes(files, "r").withColumn("version", F.lit(1).cast("bigint"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(I.changed_paths(files, state, "r")).count("Join LeftAnti") == 1
+    assert plan(I.log_entries(files, state, "r", 2)).count("Join LeftAnti") == 2
+
+
+def test_the_log_reads_a_saved_state(spark):
+    plan = queries._log(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "older" not in plan  # the earlier corpus is hashed once, for the saved state
