@@ -4,7 +4,7 @@ import re
 
 from checks import corpus as C, oracle, queries
 from riskloom.model import ScanSettings
-from riskloom.operators import comments, lines as L, match as M
+from riskloom.operators import comments, lines as L, match as M, taint, walk
 from riskloom.plans.scan import scan
 from riskloom.rules.ruleset import all_rules
 
@@ -117,3 +117,21 @@ def test_runs_of_a_line_meet_the_index_in_a_compiled_join(spark):
     plan = _plan(queries.custom_findings(spark, "/root/testdata/sf0.001"))
     joins = [line for line in plan.split("\n") if "Join Inner" in line and "literal#" in line]
     assert joins and all("Contains(low#" in line and "lambda" not in line for line in joins)
+
+
+def test_a_line_is_lower_cased_for_all_cleaning_names_at_once(spark, make_files):
+    df = taint.with_facts(L.with_lines(make_files("$a = INTVAL($b);", "$a = $b; // intval", "# $a = 1;\n / $a = 'c/#';")))
+    assert _plan(df).count("lower(") <= 2
+    found = {r.path: [(f.line_no, f.target, f.cleans) for f in r.facts] for r in df.collect()}
+    assert found == {"p/f0.php": [(1, "$a", True)], "p/f1.php": [(1, "$a", True)], "p/f2.php": [(2, "$a", False)]}
+
+
+def test_walk_takes_the_columns_of_many_files_and_keeps_them_apart():
+    facts = {
+        "line_no": [1, 2, 1, 2], "target": ["$a", "", "$b", ""], "rest_vars": [[], [], ["$a"], []],
+        "src_key": ["$_GET[", "", "", ""], "fetch_var": [""] * 4, "row_to": [""] * 4, "row_from": [""] * 4,
+        "cleans": [False] * 4, "sinks": [[], [0, 1], [], [0]], "line_vars": [["$a"], ["$a"], ["$b", "$a"], ["$a"]],
+    }
+    edges, flows = walk.walk(facts, [0, 2, 2, 4], "db", set(), [("x", 1), ("x", 2)])
+    assert edges["ends"] == [0, 1, 1, 1] and flows["ends"] == [0, 2, 2, 2]
+    assert flows["sink"] == [0, 1] and flows["path"] == [None, [0]] and flows["src_line"] == [1, 1]
