@@ -4,7 +4,7 @@ import re
 
 from checks import corpus as C, oracle, queries
 from riskloom.model import ScanSettings
-from riskloom.operators import comments, lines as L, match as M, taint, walk
+from riskloom.operators import comments, detectors as D, lines as L, match as M, taint, walk
 from riskloom.plans.scan import scan
 from riskloom.rules.ruleset import all_rules
 
@@ -119,6 +119,15 @@ def test_runs_of_a_line_meet_the_index_in_a_compiled_join(spark):
     assert joins and all("Contains(low#" in line and "lambda" not in line for line in joins)
 
 
+def test_headers_are_looked_up_in_output_files_and_few_lines(spark, make_files):
+    texts = ["plain", "header('X-Frame-Options: A');", "ECHO 1;\nHeader('x-frame-options: A');", "a ?> b <", "Print x", "printed", "?>"]
+    rows = L.with_lines(make_files(*texts)).select("path", D.missing_headers().alias("d"))
+    assert _plan(rows).count("lower(") <= 3  # two for output, one for headers, however many there are
+    assert {r.path: len(r.d) for r in rows.collect()} == {
+        f"p/f{n}.php": k for n, k in enumerate([0, 0, 3, 4, 4, 0, 0])
+    }
+
+
 def test_a_line_is_lower_cased_for_all_cleaning_names_at_once(spark, make_files):
     df = taint.with_facts(L.with_lines(make_files("$a = INTVAL($b);", "$a = $b; // intval", "# $a = 1;\n / $a = 'c/#';")))
     assert _plan(df).count("lower(") <= 2
