@@ -119,6 +119,12 @@ def test_runs_of_a_line_meet_the_index_in_a_compiled_join(spark):
     assert joins and all("Contains(low#" in line and "lambda" not in line for line in joins)
 
 
+def test_lines_are_split_without_a_pattern(spark, make_files):
+    plan = _plan(L.with_lines(make_files("a\r\nb\r\r\nc\rd", "x")))
+    assert "split(" in plan and "?" not in plan.split("split(")[1]
+    assert L.with_lines(make_files("a\r\nb\r\r\nc\rd")).first().lines == ["a", "b\r", "c\rd"]
+
+
 def test_headers_are_looked_up_in_output_files_and_few_lines(spark, make_files):
     texts = ["plain", "header('X-Frame-Options: A');", "ECHO 1;\nHeader('x-frame-options: A');", "a ?> b <", "Print x", "printed", "?>"]
     rows = L.with_lines(make_files(*texts)).select("path", D.missing_headers().alias("d"))
